@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, sentencepiece_codec, token_counts
+from . import exact_dedup, mixing, near_dedup, pii, quality_rules, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -10,9 +10,12 @@ QUERIES = {
     "op3_token_counts": token_counts.query,
     "op5_quality_rules": quality_rules.query,
     "op7_mixing": mixing.query,
+    "op8_near_dedup": near_dedup.query,
+    "op10_pii": pii.query,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_near_dedup": near_dedup.SQL,
 }
