@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 from .common import Kept, Scratch, documents, keep_rows, map_rows, texts
 from .graph import components
 
-SHINGLE, PERCENT, K, Z, BLOCK = 5, 75, 64, 5.0, 256
+SHINGLE, PERCENT, K, Z, BLOCK = 5, 75, 64, 5.0, 128
 #: Columns of a task's matrices at once.
 COLUMNS = 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
