@@ -41,8 +41,8 @@ STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", nea
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every other stage's are written to the shared folder first."""
-    scratch = common.Scratch(spark, "pipeline")
     docs = common.documents(spark, sf_dir)
+    scratch = common.Scratch(spark, "pipeline", docs)
     for _, stage in STAGES[:-1]:
         docs = scratch.cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

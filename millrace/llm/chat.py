@@ -100,7 +100,7 @@ def _levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
 
 def format_chats(turns: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> DataFrame:
     """conv_id, turn, kind, call_id, level, linked, valid, line of every message."""
-    scratch = Scratch(turns.sparkSession, "chat")
+    scratch = Scratch(turns.sparkSession, "chat", turns)
     rows = scratch.cut(_messages(turns).withColumn("bytes", F.length(F.coalesce("arguments", F.lit("")))))
     calls = rows.where("kind = 'call' AND conv_id IS NOT NULL AND call_id IS NOT NULL")
     first = calls.groupBy(F.col("conv_id").alias("conv"), F.col("call_id").alias("id")).agg(F.min(F.struct("turn", "name", F.sha2("arguments", 256).alias("hash"), F.coalesce("after", F.array().cast("array<string>")).alias("after"))).alias("f"))

@@ -29,6 +29,10 @@ def _settable(spark: SparkSession) -> bool:
         return False
 
 
+#: Input bytes for each file of a narrow table, and the most files.
+FILE_BYTES, MOST_FILES = 16 << 20, 10_000
+
+
 class Scratch:
     """Tables written to the shared folder in place of long lineage.
 
@@ -36,16 +40,21 @@ class Scratch:
     files, so a lost executor costs a re-read and no recomputation. drop()
     removes tables that no later step reads. The rest go with the folder,
     which belongs to the cluster, as with checkpoint().
+
+    like is the table that the work is on: tables cut with few=True get a file
+    for each FILE_BYTES of it, whatever the number of shuffle partitions.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, like: DataFrame):
         self.spark, self.base = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        bytes_ = like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
+        self.files = min(1 + int(bytes_) // FILE_BYTES, MOST_FILES)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, few: bool = False) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        df.write.parquet(path)
+        (df.repartition(self.files) if few else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._millrace_path = path
         return out

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-#: Links of a file, so that a round on few of them doesn't write many files.
-LINKS_A_FILE = 500_000
-
-
 def _star(both: DataFrame) -> DataFrame:
     """a, b and the least of a's neighbourhood, from links listed in both directions."""
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("a2"), F.least("a", "m").alias("m"))
@@ -28,7 +24,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     are never more than the last one's. A round's links are written to the
     shared folder and those before them removed.
     """
-    edges = scratch.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = scratch.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), few=True)
     last = None
     while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -39,6 +35,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         large = _star(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("a2"), "m")
         small = large.join(least, large["a"] == least["a2"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select(F.col("a2"), "m")).distinct()
-        new = scratch.cut(small.coalesce(1 + mark[0] // LINKS_A_FILE))
+        new = scratch.cut(small, few=True)
         scratch.drop(edges)
         edges = new

@@ -75,7 +75,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(docs: DataFrame, buckets: int = BUCKETS, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
     """Every row's part in the mix: doc_id, size, source_size, target, taken."""
-    scratch = Scratch(docs.sparkSession, "mix")
+    scratch = Scratch(docs.sparkSession, "mix", docs)
     rows = scratch.cut(sized(docs, buckets, seed))  # narrow; else the texts would be read and counted twice
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
     totals = targets(ranges.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share, most).withColumnRenamed("source", "t_source")

@@ -215,10 +215,10 @@ def stars(reps: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
     shared = values.join(often, F.col("v") == F.col("v2")).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"), F.sum("df").alias("pop"))
     least = needed(F.col("n"), k)
     left = shared.withColumn("needed", least).where("size(vs) >= needed").select("rep", "pop", F.slice("vs", F.lit(1), F.size("vs") - F.col("needed") + 1)["v"].alias("vs"))
-    left = scratch.cut(left)
+    left = scratch.cut(left, few=True)
     lists = left.select("rep", "pop", F.explode("vs").alias("v"))
     hubs = lists.groupBy("v").agg(F.max(F.struct("pop", "rep"))["rep"].alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select(F.col("v").alias("v2"), "hub")
-    return scratch.cut(lists.join(hubs, F.col("v") == F.col("v2")).select("hub", F.col("rep").alias("member")).distinct())
+    return scratch.cut(lists.join(hubs, F.col("v") == F.col("v2")).select("hub", F.col("rep").alias("member")).distinct(), few=True)
 
 
 def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -235,9 +235,9 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int = K, block:
     scratch.collect_garbage()
     # Blocks; a hub joins each block of its own.
     sizes = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("hub", "hub2")
-    dealt = scratch.cut(star.join(sizes, F.col("hub") == F.col("hub2")).select("hub", "member", "blocks", F.when(F.col("hub") == F.col("member"), -1).otherwise(F.pmod(F.xxhash64("member", "hub"), "blocks").cast("int")).alias("block")))
+    dealt = scratch.cut(star.join(sizes, F.col("hub") == F.col("hub2")).select("hub", "member", "blocks", F.when(F.col("hub") == F.col("member"), -1).otherwise(F.pmod(F.xxhash64("member", "hub"), "blocks").cast("int")).alias("block")), few=True)
     placed = dealt.withColumn("at", F.when(F.col("block") >= 0, F.array("block")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "member", F.explode("at").alias("at"))
-    first = scratch.cut(placed.join(sets, F.col("member") == F.col("id")).select("hub", "at", "member", "set").groupBy("hub", "at").applyInArrow(lambda t: _first_turn(t.select(["member", "set"])), "a long, b long"))
+    first = scratch.cut(placed.join(sets, F.col("member") == F.col("id")).select("hub", "at", "member", "set").groupBy("hub", "at").applyInArrow(lambda t: _first_turn(t.select(["member", "set"])), "a long, b long"), few=True)
     # Hubs of several blocks: members that their own block has not joined to the hub.
     big = dealt.where("blocks > 1")
     if big.isEmpty():
@@ -246,24 +246,24 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int = K, block:
     root_of = joined.select(F.col("node"), F.col("root"))
     with_root = big.join(root_of, F.col("member") == F.col("node"), "left").select("hub", "member", F.coalesce("root", "member").alias("root"))
     hub_root = with_root.where("hub = member").select(F.col("hub").alias("hub2"), F.col("root").alias("hub_root"))
-    marked = scratch.cut(with_root.join(hub_root, F.col("hub") == F.col("hub2")).select("hub", "member", (F.col("root") != F.col("hub_root")).alias("left")))
+    marked = scratch.cut(with_root.join(hub_root, F.col("hub") == F.col("hub2")).select("hub", "member", (F.col("root") != F.col("hub_root")).alias("left")), few=True)
     counts = marked.groupBy("hub").agg(F.ceil(F.count_if("left") / block).cast("int").alias("rows"), F.ceil(F.count(F.lit(1)) / block).cast("int").alias("cols")).where("rows > 0").withColumnRenamed("hub", "hub2")
     spread = marked.join(counts, F.col("hub") == F.col("hub2")).withColumns({"r": F.pmod(F.xxhash64("member", "hub"), "rows").cast("int"), "c": F.pmod(F.xxhash64("hub", "member"), "cols").cast("int")})
     as_row = spread.where("left").select("hub", "member", F.lit(True).alias("left"), "r", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
     as_col = spread.select("hub", "member", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "c")
     pairs = as_row.unionByName(as_col).join(sets, F.col("member") == F.col("id")).select("hub", "r", "c", "member", "left", "set")
     second = pairs.groupBy("hub", "r", "c").applyInArrow(lambda t: _second_turn(t.select(["member", "left", "set"])), "a long, b long")
-    return scratch.cut(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+    return scratch.cut(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second), few=True)
 
 
 def near_dedup(docs: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """Every row's component: doc_id, n_shingles, component_id, kept."""
-    scratch = Scratch(docs.sparkSession, "near")
+    scratch = Scratch(docs.sparkSession, "near", docs)
     rows = scratch.cut(sketches(docs, k))
     full = rows.where("digest IS NOT NULL")
     # A null id never stands for its class while there is another.
     one = full.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n", "sketch")).alias("r"))
-    reps = scratch.cut(one.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch")))
+    reps = scratch.cut(one.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.n").alias("n"), F.col("r.sketch").alias("sketch")), few=True)
     found = components(links(docs, reps.where("rep IS NOT NULL"), scratch, k, block), scratch)
     classes = reps.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("digest2"), F.coalesce("root", "rep").alias("component_id"))
     out = full.join(classes, F.col("digest") == F.col("digest2")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -157,14 +157,14 @@ def _spans():
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "repeats")
+    scratch = Scratch(docs.sparkSession, "repeats", docs)
     rows = scratch.cut(suffixes(docs))
     one = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kept")).alias("r"), F.count(F.lit(1)).alias("copies"))
-    reps = scratch.cut(one.select("digest", "copies", F.col("r.doc_id").alias("rep"), F.col("r.kept").alias("kept")).where("rep IS NOT NULL"))
+    reps = scratch.cut(one.select("digest", "copies", F.col("r.doc_id").alias("rep"), F.col("r.kept").alias("kept")).where("rep IS NOT NULL"), few=True)
     scratch.collect_garbage()
     kept = reps.select("rep", F.explode("kept").alias("h"))
     twice = kept.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"))
-    equal = scratch.cut(kept.join(twice, F.col("h") == F.col("h2")).groupBy("rep").agg(F.collect_list("h").alias("found")))
+    equal = scratch.cut(kept.join(twice, F.col("h") == F.col("h2")).groupBy("rep").agg(F.collect_list("h").alias("found")), few=True)
     scratch.collect_garbage()
     near = texts(docs).join(equal, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "found")
     runs = scratch.cut(map_rows(near, "rep long, run array<long>, place array<long>", _runs_near))
@@ -172,7 +172,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     each = runs.select("rep", F.inline(F.arrays_zip("run", "place")))
     shared = each.groupBy("run").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("run").alias("run2"), "lo")
     hits = each.join(shared, F.col("run") == F.col("run2")).groupBy("rep").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("rep") > F.col("lo"), F.col("place"))).alias("drops"))
-    spans = scratch.cut(map_rows(hits, "rep long, n_spans long, repeat_chars long, spans string, drop_spans string", _spans))
+    spans = scratch.cut(map_rows(hits, "rep long, n_spans long, repeat_chars long, spans string, drop_spans string", _spans), few=True)
     scratch.collect_garbage()
     classes = reps.select("digest", "rep", "copies").join(spans.withColumnRenamed("rep", "rep2"), F.col("rep") == F.col("rep2"), "left").where("copies > 1 OR n_spans > 0")
     out = rows.select("doc_id", F.col("digest").alias("d"), "n_words", "n_chars").join(classes, F.col("d") == F.col("digest"))
