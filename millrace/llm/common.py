@@ -48,8 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str, like: DataFrame):
         self.spark, self.base = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        bytes_ = like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()
-        self.files = min(1 + int(bytes_) // FILE_BYTES, MOST_FILES)
+        self.files = min(1 + int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES, MOST_FILES)
 
     def cut(self, df: DataFrame, few: bool = False) -> DataFrame:
         path = f"{self.base}/{self.n}"
