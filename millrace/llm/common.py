@@ -29,8 +29,24 @@ def _settable(spark: SparkSession) -> bool:
         return False
 
 
-#: Input bytes for each file of a narrow table, and the most files.
-FILE_BYTES, MOST_FILES = 16 << 20, 10_000
+#: Input bytes that make a file of their own worth while.
+FILE_BYTES = 8 << 20
+#: Rows that a map takes at once.
+SLICE = 512
+
+
+def few_files(df: DataFrame, like: DataFrame, deal: bool = True) -> DataFrame:
+    """df in no more partitions than the bytes of `like`, the table it comes from, are worth.
+
+    Where the shuffle partitions are more than that, as in a session set up for
+    larger tables, df would be written to that many tiny files, each of which
+    costs more than its rows. Narrow rows are dealt anew; with deal=False
+    partitions are put together where they are. Else nothing is done.
+    """
+    files = 1 + int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES
+    if files >= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(files) if deal else df.coalesce(files)
 
 
 class Scratch:
@@ -41,19 +57,18 @@ class Scratch:
     removes tables that no later step reads. The rest go with the folder,
     which belongs to the cluster, as with checkpoint().
 
-    like is the table that the work is on: tables cut with few=True get a file
-    for each FILE_BYTES of it, whatever the number of shuffle partitions.
+    like is the table that the work is on; tables cut with few=True get no more
+    files than few_files() says.
     """
 
     def __init__(self, spark: SparkSession, name: str, like: DataFrame):
-        self.spark, self.base = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base, self.like = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", like
         self.n = 0
-        self.files = min(1 + int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES, MOST_FILES)
 
     def cut(self, df: DataFrame, few: bool = False) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        (df.repartition(self.files) if few else df).write.parquet(path)
+        (few_files(df, self.like) if few else df).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._millrace_path = path
         return out
@@ -108,7 +123,7 @@ def sha256(c: Column) -> Column:
 def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is in ids (one column)."""
     ids = ids.toDF("__keep")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__keep"]), "left_semi")
+    return few_files(docs.join(ids, docs["doc_id"].eqNullSafe(ids["__keep"]), "left_semi"), docs, deal=False)
 
 
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict]]) -> DataFrame:
@@ -122,8 +137,9 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(f(*(batch.column(c).to_pylist() for c in range(len(names)))), schema=target)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_pydict(f(*(part.column(c).to_pylist() for c in range(len(names)))), schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

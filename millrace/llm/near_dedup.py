@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Kept, Scratch, documents, keep_rows, map_rows, texts
+from .common import Kept, Scratch, documents, few_files, keep_rows, map_rows, texts
 from .graph import components
 
 SHINGLE, PERCENT, K, Z, BLOCK = 5, 75, 64, 5.0, 128
@@ -58,7 +58,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD,
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> Kept:
-    return Kept(xxhash.xxh3_64_intdigest, 200_000, 64)
+    return Kept(xxhash.xxh3_64_intdigest, 100_000, 64)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -230,8 +230,8 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int = K, block:
     def start():
         return lambda ids, rows: {"id": ids, "set": [shingle_set(t).view(np.int64) for t in rows]}
 
-    rows = texts(docs).join(members, F.col("doc_id") == F.col("member"), "left_semi")
-    sets = scratch.cut(map_rows(rows, "id long, set array<long>", start))
+    rows = texts(docs).join(members.hint("merge"), F.col("doc_id") == F.col("member"), "left_semi")
+    sets = scratch.cut(map_rows(rows, "id long, set array<long>", start), few=True)
     scratch.collect_garbage()
     # Blocks; a hub joins each block of its own.
     sizes = star.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("hub", "hub2")
@@ -268,7 +268,7 @@ def near_dedup(docs: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     classes = reps.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("digest2"), F.coalesce("root", "rep").alias("component_id"))
     out = full.join(classes, F.col("digest") == F.col("digest2")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     out = out.union(rows.where("digest IS NULL").select("doc_id", "n", "doc_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return few_files(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), docs)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
