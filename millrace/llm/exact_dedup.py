@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, keep_rows, texts
+from .common import documents, few_files, keep_rows, texts
 
 #: Tasks over which the copies of one text are spread; 63 at most, as the salts in use are bits of a long.
 SALTS = 32
@@ -55,7 +55,8 @@ def exact_dedup(docs: DataFrame, salts: int = SALTS, digest: Callable[[Column],
     found = groups(docs, salts, digest).toDF("g_digest", "g_second", "g_salt", "keep_id", "group_size")
     rows = texts(docs).select("doc_id", digest(F.col("text")).alias("digest"), F.xxhash64("text").alias("second"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt"), digest_of(F.col("text")).alias("sha"))
     out = rows.join(found, (F.col("digest") == F.col("g_digest")) & (F.col("salt") == F.col("g_salt")) & (F.col("second") == F.col("g_second")))
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    out = out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+    return few_files(out, docs)
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
