@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, documents
+from .common import WORD, Scratch, documents, few_files
 
 #: Repeating weights of the sources in order.
 WEIGHTS = (5, 2, 1)
@@ -88,13 +88,15 @@ def mix(docs: DataFrame, buckets: int = BUCKETS, weights: tuple[int, ...] = WEIG
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
     fits = F.col("offset") + F.col("ahead") + F.col("size") / 2 <= F.col("budget")
-    return all_.withColumn("epochs", epochs).withColumn("budget", budget).select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + fits.cast("long"))).cast("long").alias("taken"))
+    out = all_.withColumn("epochs", epochs).withColumn("budget", budget)
+    return few_files(out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + fits.cast("long"))).cast("long").alias("taken")), docs)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix, each as many times as it is taken; documents without words stay as they are."""
     part = mix(docs).select(F.col("doc_id").alias("__id"), F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int")).alias("__times")).where("__times > 0").dropDuplicates(["__id"])
-    return docs.join(part, docs["doc_id"].eqNullSafe(part["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[docs[c] for c in docs.columns])
+    out = docs.join(part, docs["doc_id"].eqNullSafe(part["__id"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return few_files(out.select(*[docs[c] for c in docs.columns]), docs, deal=False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

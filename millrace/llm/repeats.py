@@ -54,7 +54,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> Kept:
-    return Kept(xxhash.xxh3_64_intdigest, 200_000, 64)
+    return Kept(xxhash.xxh3_64_intdigest, 100_000, 64)
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,7 +166,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     twice = kept.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"))
     equal = scratch.cut(kept.join(twice, F.col("h") == F.col("h2")).groupBy("rep").agg(F.collect_list("h").alias("found")), few=True)
     scratch.collect_garbage()
-    near = texts(docs).join(equal, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "found")
+    near = texts(docs).join(equal.hint("merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "found")
     runs = scratch.cut(map_rows(near, "rep long, run array<long>, place array<long>", _runs_near))
     scratch.collect_garbage()
     each = runs.select("rep", F.inline(F.arrays_zip("run", "place")))
