@@ -1,5 +1,9 @@
 """Every query by name, and the same in DuckDB SQL."""
 
-FLAGSHIP = "ssb_q11"
-QUERIES: dict = {}
-SQL: dict = {}
+from .operators import queries, vectors  # noqa: F401  (vectors adds its own to queries)
+from .plans import star
+from .streaming import events
+
+FLAGSHIP = "ssb_q41"
+QUERIES: dict = {**star.QUERIES, **queries.QUERIES, **events.QUERIES}
+SQL: dict = {**star.SQL, **queries.SQL, **events.SQL}
