@@ -37,7 +37,9 @@ from .common import Kept, documents, map_rows, texts
 
 SPACE = "▁"
 #: Chunks kept by a worker, and the longest of them.
-KEPT, KEPT_CHARS = 150_000, 48
+KEPT, KEPT_CHARS = 250_000, 48
+#: Bits of a failed-position field that is a plain integer.
+WORD_BITS = 60
 #: Pairs of pieces kept by a worker.
 PAIRS = 150_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -69,6 +71,20 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += n
 
 
+class Bits:
+    """A long bitfield: bits >> i & 1 reads, bits |= i sets."""
+
+    def __init__(self, n: int):
+        self.data = bytearray(n // 8 + 1)
+
+    def __rshift__(self, i: int) -> int:
+        return self.data[i >> 3] >> (i & 7)
+
+    def __ior__(self, i: int) -> Bits:
+        self.data[i >> 3] |= 1 << (i & 7)
+        return self
+
+
 class Model:
     """A BPE model's pieces, their merges and the automaton."""
 
@@ -106,7 +122,7 @@ class Model:
         chars = {c for p in self.id for c in p}
         self.automaton = ahocorasick.Automaton()
         for p in chars | self.parts.keys():
-            self.automaton.add_word(p, p)
+            self.automaton.add_word(p, (p, len(p) - 1))
         self.automaton.make_automaton()
         #: Pairs looked up before; there are far fewer than words.
         self.fits = Kept(lambda pair: self.compatible(*pair), PAIRS, 2)
@@ -146,39 +162,41 @@ class Model:
 
     def split(self, chunk: str) -> list[str]:
         """The pieces of a chunk; a character that is in no piece stands alone."""
-        longest: list[str | None] = [None] * len(chunk)
-        for end, p in self.automaton.iter(chunk):
-            longest[end - len(p) + 1] = p
-        fits, parts, shorter = self.fits, self.parts, self.shorter
-        dead = bytearray(len(chunk) // 8 + 1)
+        n = len(chunk)
+        longest: list[str | None] = [None] * n
+        for end, (p, before) in self.automaton.iter(chunk):
+            longest[end - before] = p
+        fits, shorter = self.fits, self.shorter
+        dead = Bits(n + 1) if n > WORD_BITS else 0
         out: list[str] = []
-        at = 0
-        while at < len(chunk):
+        last, at = None, 0
+        while at < n:
             piece = longest[at]
             if piece is None:  # nothing merges with it
                 out.append(chunk[at])
+                last = None
                 at += 1
                 continue
             while True:
                 end = at + len(piece)
-                if not dead[end >> 3] >> (end & 7) & 1 and (not out or fits[out[-1], piece]):
+                if not dead >> end & 1 and (last is None or fits[last, piece]):
                     out.append(piece)
-                    at = end
+                    last, at = piece, end
                     break
-                if piece in parts:
-                    piece = shorter[piece]
+                less = shorter.get(piece)
+                if less is not None:
+                    piece = less
                     continue
-                dead[at >> 3] |= 1 << (at & 7)
+                dead |= 1 << at if n <= WORD_BITS else at
                 piece = out.pop()
                 at -= len(piece)
+                last = out[-1] if out else None
         return out
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        pieces = self.split(chunk)
-        try:
-            return [self.id[p] for p in pieces]
-        except KeyError:
-            pass
+        return self.ids_of(self.split(chunk))
+
+    def ids_of(self, pieces: list[str]) -> list[int]:
         ids: list[int] = []
         for p in pieces:
             i = self.id.get(p)
@@ -246,12 +264,18 @@ class Texts:
 
     def __init__(self, model: Model):
         self.model = model
+        self.number = {p: str(i) for p, i in model.id.items()}
         self.kept = Kept(self._chunk, KEPT, KEPT_CHARS)
         self.after_space = Kept(lambda word: self._chunk(SPACE + word), KEPT, KEPT_CHARS)
 
     def _chunk(self, chunk: str) -> str:
-        """A chunk's ids, joined by commas. They are decoded as well: chunks must come back, byte runs never reaching beyond one."""
-        ids = self.model.encode_chunk(chunk)
+        """A chunk's ids, joined by commas. Pieces decode to the stretch that they stand for; byte runs are decoded to see that they do."""
+        pieces = self.model.split(chunk)
+        try:
+            return ",".join([self.number[p] for p in pieces])
+        except KeyError:
+            pass
+        ids = self.model.ids_of(pieces)
         if self.model._plain(ids) != chunk.replace(SPACE, " "):
             raise ValueError("the model cannot give back what it encodes")
         return ",".join(map(str, ids))
