@@ -15,18 +15,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of its own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file:///tmp/checkpoints/millrace-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", root) if _settable(spark) else None
-    return root
-
-
-def _settable(spark: SparkSession) -> bool:
-    try:
-        return bool(spark.conf.isModifiable("spark.checkpoint.dir"))
-    except Exception:
-        return False
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/millrace-{spark.sparkContext.applicationId}"
 
 
 #: Input bytes that make a file of their own worth while.

@@ -33,8 +33,11 @@ from .sentencepiece_codec import read_model
 #: Fixed value: how byte-level BPE splits a text before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Stretches kept by a worker, and the longest of them.
-KEPT, KEPT_CHARS = 150_000, 64
+KEPT, KEPT_CHARS = 250_000, 64
 LIMIT = 1024
+#: A heap entry is a rank and below it a place in the word.
+PLACE_BITS = 40
+PLACES = (1 << PLACE_BITS) - 1
 
 
 def byte_letters() -> list[str]:
@@ -55,12 +58,12 @@ class Counter:
             raise ValueError("added tokens that take in their surroundings are not handled")
         self.added = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"])))) if added else None
         number = {c: b for b, c in enumerate(byte_letters())}
-        #: Pair of symbols to rank and the symbol that it makes.
+        #: Pair of symbols to rank, moved beyond any place in a word, and the symbol that it makes.
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             made = number.setdefault(a + b, len(number))
-            self.merge[number[a], number[b]] = rank, made
+            self.merge[number[a], number[b]] = rank << PLACE_BITS, made
         self.words = regex.compile(WORDS)
         self.mixed = re.compile(r"\s (?!\S)")
         self.kept = Kept(self.stretch, KEPT, KEPT_CHARS)
@@ -74,24 +77,26 @@ class Counter:
         merge = self.merge
         right = [*range(1, n), -1]
         left = [*range(-1, n - 1)]
-        heap = [(m[0], i, symbols[i], symbols[i + 1], m[1]) for i in range(n - 1) if (m := merge.get((symbols[i], symbols[i + 1])))]
+        heap = [m[0] | i for i, pair in enumerate(zip(symbols, symbols[1:])) if (m := merge.get(pair))]
         heapq.heapify(heap)
         merges = 0
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
+            top = heapq.heappop(heap)
+            i = top & PLACES
             j = right[i]
-            if j < 0 or symbols[i] != a or symbols[j] != b:
+            if j < 0 or (m := merge.get((symbols[i], symbols[j]))) is None or m[0] != top - i:
                 continue  # one of the two has merged since
             merges += 1
-            symbols[i], symbols[j] = made, -1
+            made = symbols[i] = m[1]
+            symbols[j] = -1
             k = right[i] = right[j]
             if k >= 0:
                 left[k] = i
                 if m := merge.get((made, symbols[k])):
-                    heapq.heappush(heap, (m[0], i, made, symbols[k], m[1]))
+                    heapq.heappush(heap, m[0] | i)
             h = left[i]
             if h >= 0 and (m := merge.get((symbols[h], made))):
-                heapq.heappush(heap, (m[0], h, symbols[h], made, m[1]))
+                heapq.heappush(heap, m[0] | h)
         return n - merges
 
     def stretch(self, text: str) -> int:
@@ -100,7 +105,7 @@ class Counter:
     def plain(self, text: str) -> int:
         """Tokens of a text without added tokens."""
         if self.mixed.search(text):
-            return sum(map(self.kept.__getitem__, self.words.findall(text)))
+            return self.stretch(text)
         words = text.split(" ")
         first = self.stretch(words[0])
         return first + sum(map(self.kept.__getitem__, [" " + w for w in words[1:]]))
