@@ -17,7 +17,7 @@ the same suffix, in both documents at the same distance from their start.
    merged, are the passages, at their full length.
 
 A passage in very many documents is never gathered: counts combine before the
-shuffle, and the way back is a join whose large partitions Spark splits. What
+shuffle, a run that a document repeats goes out once, and the way back is a join whose large partitions Spark splits. What
 is collected for a document is bounded by its own length. Runs are told apart
 by 64-bit hashes of their words.
 
@@ -36,6 +36,7 @@ result. Other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -112,12 +113,12 @@ def _runs_near():
     """For map_rows: every run of LEAST words that holds a kept suffix of the given hashes within its first SPAN positions."""
 
     def batch(ids, rows, found):
-        out = {"rep": ids, "run": [], "place": []}
+        out = {"rep": ids, "run": [], "place": [], "more": []}
         for text, equal in zip(rows, found, strict=True):
             words = text.encode().split()
             if len(words) < LEAST:  # another text of the same doc_id
-                out["run"].append([])
-                out["place"].append([])
+                for name in ("run", "place", "more"):
+                    out[name].append([])
                 continue
             w = word_hashes(words)
             at, h = kept_suffixes(w)
@@ -128,8 +129,20 @@ def _runs_near():
             np.add.at(near, np.minimum(at + 1, len(near) - 1), -1)
             starts = np.flatnonzero(np.cumsum(near)[: len(runs)] > 0)
             spots = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
-            out["run"].append(runs[starts].view(np.int64))
-            out["place"].append((spots[starts, 0] << 32) | spots[starts + LEAST - 1, 1])
+            places = (spots[starts, 0] << 32) | spots[starts + LEAST - 1, 1]
+            once, first, which = np.unique(runs[starts], return_index=True, return_inverse=True)
+            firsts, more = places[first], None
+            if len(once) < len(starts):  # a run that a document repeats is still one row
+                again = defaultdict(list)
+                for i in np.flatnonzero(np.bincount(which)[which] > 1).tolist():
+                    again[int(which[i])].append(int(places[i]))
+                more = [None] * len(once)
+                for i, p in again.items():  # its places stand or fall together, so they merge at once
+                    firsts[i], *rest = [a << 32 | b for a, b in merged(p)]
+                    more[i] = rest or None
+            out["run"].append(once.view(np.int64))
+            out["place"].append(firsts)
+            out["more"].append(more)
         return out
 
     return batch
@@ -167,11 +180,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     equal = scratch.cut(kept.join(twice, F.col("h") == F.col("h2")).groupBy("rep").agg(F.collect_list("h").alias("found")), few=True)
     scratch.collect_garbage()
     near = texts(docs).join(equal.hint("merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "found")
-    runs = scratch.cut(map_rows(near, "rep long, run array<long>, place array<long>", _runs_near))
+    runs = scratch.cut(map_rows(near, "rep long, run array<long>, place array<long>, more array<array<long>>", _runs_near))
     scratch.collect_garbage()
-    each = runs.select("rep", F.inline(F.arrays_zip("run", "place")))
+    each = runs.select("rep", F.inline(F.arrays_zip("run", "place", F.coalesce("more", F.array().cast("array<array<long>>")).alias("more"))))
     shared = each.groupBy("run").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("run").alias("run2"), "lo")
-    hits = each.join(shared, F.col("run") == F.col("run2")).groupBy("rep").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(F.col("rep") > F.col("lo"), F.col("place"))).alias("drops"))
+    later = F.col("rep") > F.col("lo")
+    gathered = lambda c: F.concat(F.collect_list(F.when(c, F.col("place"))), F.flatten(F.collect_list(F.when(c, F.col("more")))))
+    hits = each.join(shared, F.col("run") == F.col("run2")).groupBy("rep").agg(gathered(F.lit(True)).alias("places"), gathered(later).alias("drops"))
     spans = scratch.cut(map_rows(hits, "rep long, n_spans long, repeat_chars long, spans string, drop_spans string", _spans), few=True)
     scratch.collect_garbage()
     classes = reps.select("digest", "rep", "copies").join(spans.withColumnRenamed("rep", "rep2"), F.col("rep") == F.col("rep2"), "left").where("copies > 1 OR n_spans > 0")
