@@ -25,7 +25,8 @@ function. Its sketch is the K smallest hashes.
 
 Every pair that meets in a list is settled, whatever the lengths of lists and
 groups, so a link is lost only if fewer values are shared than Z standard
-deviations allow for: less than one in a million of those right at 0.75.
+deviations allow for: less than three in a million of those right at 0.75, by
+the hypergeometric distribution, and far fewer above.
 
 Defined results: a null text has no words; documents without words have
 n_shingles 0, are linked with nothing and kept. Fewer than five words are one
