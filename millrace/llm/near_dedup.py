@@ -59,7 +59,7 @@ _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD,
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> Kept:
-    return Kept(xxhash.xxh3_64_intdigest, 100_000, 64)
+    return Kept(xxhash.xxh3_64_intdigest, 60_000, 64)
 
 
 def shingle_set(text: str) -> np.ndarray:

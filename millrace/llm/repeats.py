@@ -55,7 +55,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 @lru_cache(maxsize=1)
 def _word_hashes() -> Kept:
-    return Kept(xxhash.xxh3_64_intdigest, 100_000, 64)
+    return Kept(xxhash.xxh3_64_intdigest, 60_000, 64)
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -37,11 +37,11 @@ from .common import Kept, documents, map_rows, texts
 
 SPACE = "▁"
 #: Chunks kept by a worker, and the longest of them.
-KEPT, KEPT_CHARS = 250_000, 48
+KEPT, KEPT_CHARS = 100_000, 48
 #: Bits of a failed-position field that is a plain integer.
 WORD_BITS = 60
 #: Pairs of pieces kept by a worker.
-PAIRS = 150_000
+PAIRS = 60_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
