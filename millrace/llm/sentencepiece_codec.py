@@ -226,7 +226,8 @@ class Model:
     def encode(self, text: str) -> list[int]:
         return [i for c in self.chunks(text) for i in self.encode_chunk(c)]
 
-    def _plain(self, ids: list[int]) -> str:
+    def plain(self, ids: list[int]) -> str:
+        """What ids decode to, with the dummy prefix still on."""
         try:
             return "".join([self.text_of[i] for i in ids])
         except KeyError:
@@ -254,7 +255,7 @@ class Model:
         return "".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        text = self._plain(ids)
+        text = self.plain(ids)
         first = next((i for i in ids if self.kinds[i] != CONTROL), None)
         return text[1:] if self.prefix and first is not None and self.pieces[first].startswith(SPACE) else text
 
@@ -264,21 +265,16 @@ class Texts:
 
     def __init__(self, model: Model):
         self.model = model
-        self.number = {p: str(i) for p, i in model.id.items()}
         self.kept = Kept(self._chunk, KEPT, KEPT_CHARS)
         self.after_space = Kept(lambda word: self._chunk(SPACE + word), KEPT, KEPT_CHARS)
 
-    def _chunk(self, chunk: str) -> str:
-        """A chunk's ids, joined by commas. Pieces decode to the stretch that they stand for; byte runs are decoded to see that they do."""
-        pieces = self.model.split(chunk)
-        try:
-            return ",".join([self.number[p] for p in pieces])
-        except KeyError:
-            pass
-        ids = self.model.ids_of(pieces)
-        if self.model._plain(ids) != chunk.replace(SPACE, " "):
-            raise ValueError("the model cannot give back what it encodes")
-        return ",".join(map(str, ids))
+    def _chunk(self, chunk: str) -> tuple[str, str]:
+        """A chunk's ids, joined by commas, and the text that these decode to.
+
+        A chunk's byte pieces are whole characters, so it decodes by itself to what it does in its text.
+        """
+        ids = self.model.encode_chunk(chunk)
+        return ",".join(map(str, ids)), self.model.plain(ids)
 
     def both(self, text: str) -> tuple[str, str]:
         """The ids, joined by commas, and the text that they decode to."""
@@ -289,10 +285,10 @@ class Texts:
             ids = self.model.encode(text)
             return ",".join(map(str, ids)), self.model.decode(ids)
         if prefix and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
-            return ",".join(map(self.after_space.__getitem__, text.split(" "))), text
-        chunks = self.model.chunks(text)
-        plain = "".join(chunks).replace(SPACE, " ")
-        return ",".join(map(self.kept.__getitem__, chunks)), plain[1:] if prefix else plain
+            ids, plain = zip(*map(self.after_space.__getitem__, text.split(" ")), strict=True)
+        else:
+            ids, plain = zip(*map(self.kept.__getitem__, self.model.chunks(text)), strict=True)
+        return ",".join(ids), "".join(plain)[1 if prefix else 0 :]
 
 
 @lru_cache(maxsize=2)

@@ -85,11 +85,13 @@ def test_codec_as_the_library(spark):
     path = sentencepiece_codec.model_path()
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
     model = sentencepiece_codec.Model(sentencepiece_codec.read_model(path))
+    both = sentencepiece_codec.Texts(model).both
     r = random.Random(6)
     for text in [*fuzz(), *(t or "" for t in brute.odd_texts())]:
         ids = lib.encode(text)
         assert model.encode(text) == ids
         assert model.decode(ids) == lib.decode(ids)
+        assert both(text) == (",".join(map(str, ids)), lib.decode(ids))
     for _ in range(1500):
         ids = [r.randrange(32000) if r.random() < 0.5 else r.randrange(259) for _ in range(10)]
         assert model.decode(ids) == lib.decode(ids)
