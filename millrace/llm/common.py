@@ -77,17 +77,17 @@ class Kept(dict):
     """A table of a function's results, of bounded size: kept[key] is f(key).
 
     When `most` results have come in, those that were not asked for since the
-    last time are let go. Keys longer than `chars` are worked out each time.
+    last time are let go. Keys longer than `chars`, if given, are worked out each time.
     """
 
-    def __init__(self, f: Callable, most: int, chars: int):
+    def __init__(self, f: Callable, most: int, chars: int | None = None):
         self.f, self.most, self.chars, self.old = f, most, chars, {}
 
     def __missing__(self, key):
         out = self.old.get(key)
         if out is None:
             out = self.f(key)
-            if len(key) > self.chars:
+            if self.chars is not None and len(key) > self.chars:
                 return out
         if len(self) >= self.most:
             self.old = dict(self)

@@ -41,7 +41,7 @@ KEPT, KEPT_CHARS = 100_000, 48
 #: Bits of a failed-position field that is a plain integer.
 WORD_BITS = 60
 #: Pairs of pieces kept by a worker.
-PAIRS = 60_000
+PAIRS = 120_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -119,15 +119,22 @@ class Model:
         for p in sorted(self.rank, key=len):
             if (pair := self._last_merge(p)) is not None:
                 self.parts[p] = pair
-        chars = {c for p in self.id for c in p}
+        #: What texts are split into, by number: the reachable pieces and the characters that pieces have.
+        self.symbols = sorted({c for p in self.id for c in p} | self.parts.keys())
+        of = {p: s for s, p in enumerate(self.symbols)}
+        self.characters = {p: s for p, s in of.items() if len(p) == 1}
+        self.lengths = [len(p) for p in self.symbols]
+        #: The next shorter symbol at the same place; -1 for a character.
+        self.shorter = [next((of[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in of), -1) for p in self.symbols]
+        #: Ids by symbol, and all of them as text; None for a character that is no piece.
+        self.id_of = [self.id.get(p) for p in self.symbols]
+        self.digits = [str(i) for i in range(len(self.pieces))]
         self.automaton = ahocorasick.Automaton()
-        for p in chars | self.parts.keys():
-            self.automaton.add_word(p, (p, len(p) - 1))
+        for p in self.parts:
+            self.automaton.add_word(p, of[p])
         self.automaton.make_automaton()
-        #: Pairs looked up before; there are far fewer than words.
-        self.fits = Kept(lambda pair: self.compatible(*pair), PAIRS, 2)
-        #: The next shorter piece at the same place.
-        self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 1, -1) if p[:n] in self.parts), p[0]) for p in self.parts}
+        #: Pairs looked up before, as left * (number of symbols) + right; there are far fewer than words.
+        self.fits = Kept(lambda pair: self.compatible(*(self.symbols[s] for s in divmod(pair, len(self.symbols)))), PAIRS)
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The merge that completes a piece on its own; None if merging ends in something else."""
@@ -160,50 +167,55 @@ class Model:
             else:  # of equals the left one merged first, and so would one across
                 limit, right = b + 1, parts[right][0]
 
-    def split(self, chunk: str) -> list[str]:
-        """The pieces of a chunk; a character that is in no piece stands alone."""
+    def split(self, chunk: str) -> list[int]:
+        """A chunk's symbols by number; a character that is none stands alone, as ~ its code point."""
         n = len(chunk)
-        longest: list[str | None] = [None] * n
-        for end, (p, before) in self.automaton.iter(chunk):
-            longest[end - before] = p
-        fits, shorter = self.fits, self.shorter
+        characters = self.characters
+        longest = [characters.get(c, -1) for c in chunk]
+        lengths, shorter, fits, many = self.lengths, self.shorter, self.fits, len(self.symbols)
+        for end, s in self.automaton.iter(chunk):
+            longest[end + 1 - lengths[s]] = s
         dead = Bits(n + 1) if n > WORD_BITS else 0
-        out: list[str] = []
-        last, at = None, 0
+        out: list[int] = []
+        last, at = -1, 0  # last times many, or below 0 where nothing merges with it
         while at < n:
-            piece = longest[at]
-            if piece is None:  # nothing merges with it
-                out.append(chunk[at])
-                last = None
+            s = longest[at]
+            if s < 0:
+                out.append(~ord(chunk[at]))
+                last = -1
                 at += 1
                 continue
             while True:
-                end = at + len(piece)
-                if not dead >> end & 1 and (last is None or fits[last, piece]):
-                    out.append(piece)
-                    last, at = piece, end
+                end = at + lengths[s]
+                if not dead >> end & 1 and (last < 0 or fits[last + s]):
+                    out.append(s)
+                    last, at = s * many, end
                     break
-                less = shorter.get(piece)
-                if less is not None:
-                    piece = less
+                less = shorter[s]
+                if less >= 0:
+                    s = less
                     continue
                 dead |= 1 << at if n <= WORD_BITS else at
-                piece = out.pop()
-                at -= len(piece)
-                last = out[-1] if out else None
+                s = out.pop()
+                at -= lengths[s]
+                last = out[-1] * many if out else -1
         return out
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        return self.ids_of(self.split(chunk))
+        id_of = self.id_of
+        split = self.split(chunk)
+        found = [id_of[s] if s >= 0 else None for s in split]
+        return found if None not in found else self._with_unknown(split)
 
-    def ids_of(self, pieces: list[str]) -> list[int]:
+    def _with_unknown(self, split: list[int]) -> list[int]:
+        """Ids where some characters are no pieces: their UTF-8 bytes' pieces, or the unknown piece."""
         ids: list[int] = []
-        for p in pieces:
-            i = self.id.get(p)
+        for s in split:
+            i = self.id_of[s] if s >= 0 else None
             if i is not None:
                 ids.append(i)
             elif self.bytes:
-                ids += [self.bytes[b] for b in p.encode()]
+                ids += [self.bytes[b] for b in (self.symbols[s] if s >= 0 else chr(~s)).encode()]
             else:
                 ids.append(self.unknown)
         return ids
@@ -229,7 +241,7 @@ class Model:
     def plain(self, ids: list[int]) -> str:
         """What ids decode to, with the dummy prefix still on."""
         try:
-            return "".join([self.text_of[i] for i in ids])
+            return "".join(map(self.text_of.__getitem__, ids))
         except KeyError:
             pass
         out: list[str] = []
@@ -274,7 +286,7 @@ class Texts:
         A chunk's byte pieces are whole characters, so it decodes by itself to what it does in its text.
         """
         ids = self.model.encode_chunk(chunk)
-        return ",".join(map(str, ids)), self.model.plain(ids)
+        return ",".join(map(self.model.digits.__getitem__, ids)), self.model.plain(ids)
 
     def both(self, text: str) -> tuple[str, str]:
         """The ids, joined by commas, and the text that they decode to."""
@@ -285,10 +297,10 @@ class Texts:
             ids = self.model.encode(text)
             return ",".join(map(str, ids)), self.model.decode(ids)
         if prefix and text[0] != " " and text[-1] != " " and "  " not in text and SPACE not in text:
-            ids, plain = zip(*map(self.after_space.__getitem__, text.split(" ")), strict=True)
+            found = [*map(self.after_space.__getitem__, text.split(" "))]
         else:
-            ids, plain = zip(*map(self.kept.__getitem__, self.model.chunks(text)), strict=True)
-        return ",".join(ids), "".join(plain)[1 if prefix else 0 :]
+            found = [*map(self.kept.__getitem__, self.model.chunks(text))]
+        return ",".join([ids for ids, _ in found]), "".join([plain for _, plain in found])[1 if prefix else 0 :]
 
 
 @lru_cache(maxsize=2)
