@@ -3,8 +3,11 @@
 The base finds e-mail addresses, IP numbers, card numbers and telephone numbers
 by exact patterns; those spans always stay. Beside it, generators of high
 recall propose spans that the patterns miss and that may overlap: addresses
-written with "(at)" and "[dot]", numbers with other separators or without a
-plus sign, card numbers of other lengths, IP numbers with ports or in IPv6.
+written with "(at)" and "[dot]" or "at" and "dot", numbers with other
+separators or without a plus sign, card numbers of other lengths, IP numbers in
+IPv6, whole or compressed. Of numbers side by side every run of neighbouring
+groups of digits is proposed, as fixed patterns take them for one number and
+drop it when its digits are too many.
 Gradient-boosted trees score each candidate from its format and from the words
 around it, and a threshold for each kind, calibrated for precision on rows held
 out of the fitting, selects. Of overlapping selected candidates the best stays;
@@ -24,6 +27,7 @@ code points, the end exclusive.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -91,24 +95,66 @@ def base(text: str) -> dict[str, list[Span]]:
 _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[({<]\s?(?:at|AT|@)\s?[\])}>]\s?[A-Za-z0-9-]{1,63}(?:(?:\s?[\[({<]\s?(?:dot|DOT|\.)\s?[\])}>]\s?|\.)[A-Za-z0-9-]{2,24}){1,4}")
 _HINT = re.compile(r"(?:at|AT|@)\s?[\])}>]")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
-_RUN = re.compile(r"(?<![0-9A-Za-z.])(?:00[1-9]|\(?0?[1-9])[0-9]*(?:[\x20()./_ ‐-–-]{1,2}[0-9]+){0,6}(?![0-9A-Za-z])")
+_PLAIN_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s(?:at|AT)\s[A-Za-z0-9-]{1,63}(?:(?:\s(?:dot|DOT)\s|\.)[A-Za-z0-9-]{2,24}){1,4}(?![A-Za-z0-9])")
+_PLAIN_HINT = re.compile(r"\s(?:at|AT)\s")
+_HEX = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+_SHORT_IPV6 = re.compile(rf"(?<![0-9A-Za-z:])(?:{_HEX})?::(?:{_HEX})?(?![0-9A-Za-z:])")
+_GROUP = re.compile("[0-9]+")
+_SEPARATOR = re.compile(r"[\x20()./_ ‐-–-]{1,2}")
+_FIRST = re.compile("0{0,2}[1-9]")
+#: Groups of digits in a number at most.
+GROUPS = 7
+
+
+def numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """Start, end and digits of every run of up to GROUPS neighbouring groups of digits, 8 to 19 digits in all."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    joined = [_SEPARATOR.fullmatch(text, b, c) is not None for (_, b), (c, _) in zip(groups, groups[1:], strict=False)]
+    for i, (start, _) in enumerate(groups):
+        before = text[start - 1 : start]
+        if (before.isascii() and before.isalpha()) or (before == "." and not (i and joined[i - 1])) or not _FIRST.match(text, start):
+            continue
+        n = 0
+        for j in range(i, min(i + GROUPS, len(groups))):
+            end = groups[j][1]
+            n += end - groups[j][0]
+            if n > 19 or (j > i and not joined[j - 1]):
+                break
+            after = text[end : end + 1]
+            if n >= 8 and not (after.isascii() and after.isalpha()):
+                yield start, end, n
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[str, int, int]]:
-    """Spans that touch no taken one."""
+    """Spans that touch no taken one. They may overlap: of a run of numbers, each part that may be one by itself."""
     out = []
     if _HINT.search(text):
         out += [("email", *m.span()) for m in _AT.finditer(text)]
+    if _PLAIN_HINT.search(text):
+        out += [("email", *m.span()) for m in _PLAIN_AT.finditer(text)]
+    if "::" in text:
+        out += [("ip", *m.span()) for m in _SHORT_IPV6.finditer(text) if 1 <= len(re.findall("[0-9A-Fa-f]+", m[0])) <= 7]
     if _DIGIT.search(text):
         if ":" in text:
             out += [("ip", *m.span()) for m in _IPV6.finditer(text)]
-        for m in _RUN.finditer(text):
-            n = len(_digits(m[0]))
-            if 8 <= n <= 15:
-                out.append(("phone", *m.span()))
-            if 13 <= n <= 19:
-                out.append(("card", *m.span()))
-    return [(k, a, b) for k, a, b in out if not any(a < e and s < b for s, e in taken)]
+        for start, end, n in numbers(text):
+            if n <= 15:
+                before = text[start - 1 : start]
+                out.append(("phone", start - (before == "+" or (before == "(" and ")" in text[start:end])), end))
+            if n >= 13:
+                out.append(("card", start, end))
+    if not taken:
+        return out
+    full = covered(text, taken)
+    return [(k, a, b) for k, a, b in out if full.find(1, a, b) < 0]
+
+
+def covered(text: str, spans: list[Span]) -> bytearray:
+    """A byte for each character: 1 in a span."""
+    out = bytearray(len(text))
+    for a, b in spans:
+        out[a:b] = b"\x01" * (b - a)
+    return out
 
 
 #: Words that speak for a kind, in the languages of the tables.
@@ -121,13 +167,19 @@ CONTEXT = {
 #: Words that speak against any.
 AGAINST = ("order", "invoice", "version", "isbn", "serial", "id", "no", "ref", "sha", "token", "date", "page", "sum", "total", "ticket")
 _WORD = re.compile(r"[a-z]+")
+#: Numbers that stand next to a candidate, a separator apart.
+_LEFT, _RIGHT = re.compile(rf"([0-9]+){_SEPARATOR.pattern}$"), re.compile(rf"{_SEPARATOR.pattern}([0-9]+)")
+_TOP = re.compile(r"[.\s\])}>](?:com|org|net|edu|gov|info|io|[a-z]{2})$", re.IGNORECASE)
 
 
 def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context as numbers."""
     s = text[start:end]
     d = _digits(s)
-    groups = [len(g) for g in re.findall("[0-9]+", s)]
+    parts = _GROUP.findall(s)
+    groups = [len(g) for g in parts]
+    left, right = _LEFT.search(text[max(0, start - AROUND) : start]), _RIGHT.match(text, end)
+    left, right = left[1] if left else "", right[1] if right else ""
     near = _WORD.findall(text[max(0, start - AROUND) : start].lower()) + _WORD.findall(text[end : end + AROUND // 2].lower())
     seps = {c for c in s if not c.isalnum()}
     return [
@@ -149,6 +201,20 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(w in AGAINST for w in near)),
         float(sum(w.startswith(v) for k, v in CONTEXT.items() if k != kind for w in near)),
         float(text[start - 1 : start] in "=:#\"'/" and start > 0),
+        len(left),
+        len(right),
+        float(luhn(d) and 16 <= len(d) <= 19),
+        float(luhn(left) if len(left) >= 13 else -1),
+        float(luhn(right) if len(right) >= 13 else -1),
+        float(s.startswith("+")),
+        float(text[start - 1 : start] == "+" or text[max(0, start - 2) : start] == "+("),
+        float(len(re.findall(r"\sdot\s", s, re.IGNORECASE))),
+        float(any(c in "[({<" for c in s)),
+        float(bool(_TOP.search(s))),
+        float("::" in s),
+        float(any(g.startswith("00") for g in parts[1:])),
+        groups[0] if groups else 0,
+        groups[-1] if groups else 0,
     ]
 
 
@@ -171,23 +237,45 @@ def _training() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d = pick("3456") + num(n - 2)
         return next(d + c for c in "0123456789" if luhn(d + c) == ok)
 
+    def unlike(n: int) -> str:
+        """Digits that the base, were they to stand alone, doesn't take for a card."""
+        while luhn(d := pick("123456789") + num(n - 1)) and n >= 16:
+            pass
+        return d
+
+    def beside() -> tuple[str, str | None]:
+        """A number next to another one, and its kind if it is personal."""
+        return pick([
+            lambda: (next(d + c for d in [pick("123456789") + num(14)] for c in "0123456789" if luhn(d + c)), "card"),
+            lambda: (f"+{pick(['1', '44', '49', '33', '34'])} ({num(3)}) {num(3)}-{num(4)}", "phone"),
+            lambda: (".".join(str(int(x)) for x in rng.integers(1, 256, 4)), None),
+            lambda: (unlike(int(rng.integers(16, 20))), None),
+            lambda: (num(int(rng.integers(1, 5))), None),
+        ])()
+
     def person(kind: str) -> str:
         if kind == "email":
-            at, dot = pick(["(at)", "[at]", " (at) ", " [at] ", "{at}"]), pick([".", "[dot]", " (dot) ", "."])
+            at, dot = pick(["(at)", "[at]", " (at) ", " [at] ", "{at}", " at ", " at "]), pick([".", "[dot]", " (dot) ", " dot "])
+            if at == " at ":
+                dot = " dot "
             return f"{word()}{pick(['.', '_', ''])}{word()}{at}{word()}{dot}{pick(['com', 'org', 'net', 'de', 'fr'])}"
         if kind == "ip":
-            return ":".join(f"{int(x):x}" for x in rng.integers(256, 65536, 8))
+            parts = [f"{int(x):x}" for x in rng.integers(256, 65536, 8)]
+            if rng.random() < 0.5:
+                return ":".join(parts)
+            first, last = int(rng.integers(1, 4)), int(rng.integers(1, 4))
+            return ":".join(parts[:first]) + "::" + ":".join(parts[-last:])
         if kind == "card":
             return pick([lambda: valid(15), lambda: grouped(valid(15), (4, 6), pick(" -")), lambda: grouped(valid(16), (4, 4, 4), pick("./_")), lambda: valid(14), lambda: grouped(valid(16), (4, 4, 4), " ")])()
         return pick([lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"00{pick(['49', '33', '34', '1'])} {num(3)} {num(7)}", lambda: f"0{num(3)}/{num(7)}", lambda: f"0{num(2)} {num(2)} {num(2)} {num(2)} {num(2)}", lambda: f"{num(3)}-{num(3)}-{num(4)}"])()
 
     def other(kind: str) -> str:
         if kind == "email":
-            return f"{word()} (at) {word()}.{word()}"
+            return pick([lambda: f"{word()} (at) {word()}.{word()}", lambda: f"{word()} at {word()}.{pick(['com', 'org', 'net', 'de'])}", lambda: f"{word()} at {word()} dot {word()}"])()
         if kind == "ip":
-            return ":".join(num(2) for _ in range(int(rng.integers(4, 7))))
+            return pick([lambda: ":".join(num(2) for _ in range(int(rng.integers(4, 7)))), lambda: f"{pick(['add', 'bad', 'face', 'a', 'dec'])}::{pick(['add', 'be', 'fade', 'b', 'feed'])}", lambda: f"{num(2)}::{num(2)}"])()
         if kind == "card":
-            return pick([lambda: valid(int(rng.integers(13, 20)), False), lambda: num(int(rng.integers(13, 20))), lambda: grouped(num(16), (4, 4, 4), pick("./_"))])()
+            return pick([lambda: valid(int(rng.integers(13, 20)), False), lambda: unlike(int(rng.integers(13, 20))), lambda: grouped(unlike(16), (4, 4, 4), pick("./_"))])()
         return pick([lambda: num(int(rng.integers(8, 16))), lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: f"{num(2)}.{num(2)}.{num(4)}", lambda: f"{num(4)} {num(4)}", lambda: f"{num(2)}/{num(2)}/{num(4)}", lambda: f"{num(5)}-{num(5)}"])()
 
     x, y, z = [], [], []
@@ -196,10 +284,24 @@ def _training() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         real = rng.random() < 0.5
         s = person(kind) if real else other(kind)
         lead = pick(CONTEXT[kind]) if rng.random() < (0.8 if real else 0.1) else pick(AGAINST) if rng.random() < (0.05 if real else 0.5) else word()
-        text = f"{word()} {word()} {lead}{pick([' ', ': ', ' '])}{s}{pick(['', '.', ',', ' '])} {word()} {word()}"
-        for k, a, b in candidates(text, [])[:2]:
+        parts = [(s, kind if real else None)]
+        if kind in ("card", "phone") and rng.random() < 0.4:  # numbers side by side, as no fixed pattern takes them
+            parts = [beside(), beside()] if rng.random() < 0.7 else [*parts, beside()]
+            if rng.random() < 0.5:
+                parts.reverse()
+        text, true = f"{word()} {word()} {lead}{pick([' ', ': ', ' '])}", set()
+        for i, (part, of) in enumerate(parts):
+            text += " " * (i > 0)
+            true.add((of, len(text), len(text) + len(part)))
+            text += part
+        follow = pick(CONTEXT[pick(KINDS)]) if rng.random() < 0.2 else word()  # the next thing that the text names
+        text += f"{pick(['', '.', ',', ' '])} {follow} {word()}"
+        found = candidates(text, [s for v in base(text).values() for s in v])
+        wrong = [c for c in found if c not in true]
+        rng.shuffle(wrong)
+        for k, a, b in [c for c in found if c in true] + [(k, int(a), int(b)) for k, a, b in wrong[:1]]:
             x.append(describe(text, k, a, b))
-            y.append(float(real and k == kind))
+            y.append(float((k, a, b) in true))
             z.append(KINDS.index(k))
     return np.array(x), np.array(y), np.array(z)
 
@@ -274,10 +376,12 @@ def find(text: str, model: tuple[Boosted, tuple[float, ...]]) -> tuple[dict[str,
     if loose:
         trees, cuts = model
         score = trees.score(np.array([describe(text, *c) for c in loose]))
-        for i in np.argsort(-score, kind="stable").tolist():
+        full = bytearray(len(text))
+        for i in sorted(range(len(loose)), key=lambda i: (-score[i], loose[i][1] - loose[i][2], loose[i][1])):  # of equals the longest
             k, a, b = loose[i]
-            if score[i] >= cuts[KINDS.index(k)] and not any(a < e and s < b for _, s, e in added):
+            if score[i] >= cuts[KINDS.index(k)] and full.find(1, a, b) < 0:
                 added.append((k, a, b))
+                full[a:b] = b"\x01" * (b - a)
     return sure, added
 
 
