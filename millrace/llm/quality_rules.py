@@ -1,10 +1,11 @@
 """Quality rules: fixed limits first, then an isolation forest on rule statistics.
 
-Each text's words, lines, symbols and repeated 8-word windows are counted in
-one pass over the whole text. Documents of fewer than 20 words, or with more
-than 30 % of their words in repeated windows, fail at once. For the others,
-ratios of the counts go through an isolation forest: random splits part odd
-documents from the rest after few steps, so a short mean path marks them. The
+Each text's words, lines, symbols, repeated 8-word windows and words that stand
+twice in a row are counted in one pass over the whole text. Documents of fewer
+than 20 words, or with more than 30 % of their words in repeated windows, fail
+at once. For the others, ratios of the counts, as far as they are outside the
+range of the good documents, go through an isolation forest: random splits part
+odd documents from the rest after few steps, so a short mean path marks them. The
 threshold comes from labelled rows, among those that the fixed limits pass: the
 score that rejects the most rows of quality 0 while it rejects at most
 `loss` of those of quality 1, put midway to the next score above.
@@ -22,6 +23,8 @@ counts. Other columns are ignored.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +41,9 @@ SAMPLE = 4096
 TREES, PER_TREE, LOSS = 200, 256, 0.002
 #: Part of a tree's documents that are of quality 0, so that splits reach their values.
 POOR = 0.02
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
+STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_same_next long"
+#: How far beyond the good documents' range the band of usual values goes, as a part of that range.
+MARGIN = 0.25
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,13 +79,13 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(cover) > 0).sum())
 
 
-def stats(text: str) -> tuple[int, int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word)."""
+def stats(text: str) -> tuple[int, int, int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word), n_same_next (words that the next one repeats)."""
     words = text.encode().split()
     if not words:
-        return 0, 0, sum(map(text.count, SYMBOLS)), 0, 0, 0
+        return 0, 0, sum(map(text.count, SYMBOLS)), 0, 0, 0, 0
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines)
+    return len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), len(lines), sum(map(eq, words, words[1:]))
 
 
 def base_failed(n_words, n_repeat_words):
@@ -88,14 +93,25 @@ def base_failed(n_words, n_repeat_words):
 
 
 def features(s: np.ndarray) -> np.ndarray:
-    """Symbols by word and by character, from rows of stats.
+    """Ratios from rows of stats: symbols by word and by character, characters by word, and the parts of repeated lines, words in repeated windows and words that the next one repeats.
 
-    These two don't depend on a document's length or language. On held-out
-    labelled rows, word lengths, repeated lines and repeated windows as further
-    features mark clean documents as soon as poor ones.
+    None depends on a document's length.
     """
-    words, chars, symbols = s[:, :3].astype(float).T
-    return np.stack([symbols / np.maximum(words, 1), symbols / np.maximum(chars, 1)], axis=1)
+    words, chars, symbols, dup, repeat, lines, same = s.astype(float).T
+    words, lines = np.maximum(words, 1), np.maximum(lines, 1)
+    return np.stack([symbols / words, symbols / np.maximum(chars, 1), chars / words, dup / lines, repeat / words, same / words], axis=1)
+
+
+class Band:
+    """The range of the good documents' features, and a margin. What is within doesn't count, so that usual variation costs no splits."""
+
+    def __init__(self, good: np.ndarray):
+        low, high = good.min(0), good.max(0)
+        self.low, self.high = low - MARGIN * (high - low), high + MARGIN * (high - low)
+
+    def outside(self, x: np.ndarray) -> np.ndarray:
+        """How far each feature is below or above."""
+        return np.maximum(np.maximum(self.low - x, x - self.high), 0.0)
 
 
 class Forest:
@@ -104,14 +120,15 @@ class Forest:
     def __init__(self, x: np.ndarray, poor: np.ndarray, seed: int = 7, trees: int = TREES, per_tree: int = PER_TREE):
         rng = np.random.default_rng(seed)
         good = np.flatnonzero(~poor)
-        bad = np.flatnonzero(poor)
+        # Poor rows by feature that shows them, so that rare kinds are in the samples as often as others.
+        kinds = [k for k in (np.flatnonzero(poor & (x[:, f] > 0)) for f in range(x.shape[1])) if len(k)]
         self.size = min(per_tree, len(good))
         self.depth = max(1, int(np.ceil(np.log2(max(self.size, 2)))))
         built = []
         for _ in range(trees):
             own = rng.choice(good, self.size, replace=False)
-            if k := min(len(bad), int(self.size * POOR)):
-                own = np.concatenate([own[k:], rng.choice(bad, k, replace=False)])
+            if k := int(self.size * POOR) if kinds else 0:
+                own = np.concatenate([own[k:], [rng.choice(kinds[i]) for i in rng.integers(0, len(kinds), k)]])
             built.append(self._tree(x[own], rng))
         nodes = max(len(t) for t in built)
         pad = [t + [(0, 0.0, 0, 0, 0.0)] * (nodes - len(t)) for t in built]
@@ -166,8 +183,8 @@ def calibrate(score: np.ndarray, poor: np.ndarray, loss: float = LOSS) -> float:
     return float((top + above.min()) / 2) if len(above) else float("inf")
 
 
-def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, loss: float = LOSS) -> tuple[Forest, float] | None:
-    """Forest and threshold from at most `sample` labelled documents."""
+def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, loss: float = LOSS) -> tuple[Band, Forest, float] | None:
+    """Band, forest and threshold from at most `sample` labelled documents."""
     if labels is None:
         return None
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -186,8 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, loss: f
     if not (passed & ~poor).any():
         return None
     x, poor = features(s[passed]), poor[passed]
+    band = Band(x[~poor])
+    x = band.outside(x)
     forest = Forest(x, poor)
-    return forest, calibrate(forest.score(x), poor, loss)
+    return band, forest, calibrate(forest.score(x), poor, loss)
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -207,8 +226,8 @@ def judge(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE, loss:
         def batch(ids, rows):
             s = np.array([stats(t) for t in rows])
             failed = base_failed(s[:, 0], s[:, 4])
-            score = model[0].score(features(s)) if model else np.zeros(len(s))
-            kept = ~failed & (score <= model[1]) if model else ~failed
+            score = model[1].score(model[0].outside(features(s))) if model else np.zeros(len(s))
+            kept = ~failed & (score <= model[2]) if model else ~failed
             return {"doc_id": ids, "n_words": s[:, 0], "word_chars": s[:, 1], "n_symbols": s[:, 2], "n_dup_lines": s[:, 3], "n_repeat_words": s[:, 4], "base_failed": failed, "kept": kept, "score": score}
 
         return batch

@@ -1,8 +1,10 @@
 """Cases that the operators once left out."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import pii
+from millrace.llm import pii, quality_rules
+from millrace.llm.common import documents
 
 SMALL, MORE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
@@ -29,3 +31,16 @@ def test_pii_side_by_side_in_the_tables(spark):
 def test_pii_candidates_overlap():
     text = "12345678 12345678"
     assert {(k, text[a:b]) for k, a, b in pii.candidates(text, [])} == {("phone", "12345678"), ("card", text)}
+
+
+def test_quality_rejects_each_kind_of_poor_row(spark):
+    docs, labels = documents(spark, LARGE), spark.read.parquet(f"{LARGE}/labels.parquet")
+    rows = quality_rules.judge(docs, labels).where("NOT base_failed").join(labels.select("doc_id", "quality"), "doc_id", "left")
+    by = {(r.quality, r.symbols): (r.kept, r.n) for r in rows.groupBy("quality", (F.col("n_symbols") > 0).alias("symbols")).agg(F.count_if("kept").alias("kept"), F.count(F.lit(1)).alias("n")).collect()}
+    assert by[0, True] == (0, 293) and by[0, False] == (0, 8)  # symbols; a word again and again
+    assert by[1, False][0] >= 0.998 * by[1, False][1]
+
+
+def test_quality_counts_words_in_a_row():
+    x = quality_rules.features(np.array([quality_rules.stats("a a a b b c d e f g"), quality_rules.stats("a b c d e a b c d e")]))
+    assert x[:, 5].tolist() == [0.3, 0.0]
