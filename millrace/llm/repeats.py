@@ -1,10 +1,10 @@
 """Repeated passages by a sparse suffix array.
 
-A passage repeats if a run of LEAST words stands in two documents of different
-text. Suffixes are kept only at minimiser positions: of every SPAN consecutive
+A passage repeats if a run of LEAST words stands at two places of the corpus, in
+two documents of different text or in one. Suffixes are kept only at minimiser positions: of every SPAN consecutive
 positions the one whose next PREFIX words have the least hash. The choice
 depends on content alone and LEAST = PREFIX + SPAN - 1, so equal runs keep
-the same suffix, in both documents at the same distance from their start.
+the same suffix, at both places at the same distance from their start.
 
 1. Documents of one text are one class, and repeat as a whole if it has LEAST
    words; one of them goes on.
@@ -13,8 +13,8 @@ the same suffix, in both documents at the same distance from their start.
    of a common passage before the shuffle. All others are dropped.
 3. From each suffix that has an equal, the match is extended to the left by up
    to SPAN - 1 words and to the right: every run of LEAST words that starts
-   there is looked up among all documents' runs. Those found in two documents,
-   merged, are the passages, at their full length.
+   there is looked up among all documents' runs. Those found in two documents
+   or twice in one, merged, are the passages, at their full length.
 
 A passage in very many documents is never gathered: counts combine before the
 shuffle, a run that a document repeats goes out once, and the way back is a join whose large partitions Spark splits. What
@@ -23,8 +23,9 @@ by 64-bit hashes of their words.
 
 Result: a row for each document with a passage: doc_id, n_words, n_spans,
 repeat_chars, spans ("start:end,...", code points, end exclusive), drop_spans
-(those of which an earlier document, by doc_id, has the run too) and copies
-(documents with the same text, itself included).
+(those of which an earlier document, by doc_id, has the run too, or which are
+behind the run's first place in their own document and don't overlap it) and
+copies (documents with the same text, itself included).
 
 Defined results: null and empty texts, and those of fewer than LEAST words,
 have no passage and no row. Rows that repeat a doc_id and its text are copies
@@ -91,7 +92,10 @@ def kept_suffixes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n_words, n_chars and the hashes of the kept suffixes, for texts of LEAST words or more."""
+    """doc_id, digest, n_words, n_chars and the hashes of the kept suffixes, for texts of LEAST words or more.
+
+    A hash that a document has more than once is listed twice, which is enough for the count over all.
+    """
 
     def start():
         def batch(ids, rows):
@@ -100,7 +104,8 @@ def suffixes(docs: DataFrame) -> DataFrame:
                 data = text.encode()
                 words = data.split()
                 if len(words) >= LEAST:
-                    for name, x in zip(out, (i, blake2b(data, digest_size=16).digest(), len(words), len(text), np.unique(kept_suffixes(word_hashes(words))[1]).view(np.int64)), strict=True):
+                    kept, often = np.unique(kept_suffixes(word_hashes(words))[1], return_counts=True)
+                    for name, x in zip(out, (i, blake2b(data, digest_size=16).digest(), len(words), len(text), np.repeat(kept, np.minimum(often, 2)).view(np.int64)), strict=True):
                         out[name].append(x)
             return out
 
@@ -113,11 +118,11 @@ def _runs_near():
     """For map_rows: every run of LEAST words that holds a kept suffix of the given hashes within its first SPAN positions."""
 
     def batch(ids, rows, found):
-        out = {"rep": ids, "run": [], "place": [], "more": []}
+        out = {"rep": ids, "run": [], "place": [], "more": [], "later": []}
         for text, equal in zip(rows, found, strict=True):
             words = text.encode().split()
             if len(words) < LEAST:  # another text of the same doc_id
-                for name in ("run", "place", "more"):
+                for name in ("run", "place", "more", "later"):
                     out[name].append([])
                 continue
             w = word_hashes(words)
@@ -131,18 +136,20 @@ def _runs_near():
             spots = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
             places = (spots[starts, 0] << 32) | spots[starts + LEAST - 1, 1]
             once, first, which = np.unique(runs[starts], return_index=True, return_inverse=True)
-            firsts, more = places[first], None
+            firsts, more, later = places[first], None, None
             if len(once) < len(starts):  # a run that a document repeats is still one row
                 again = defaultdict(list)
                 for i in np.flatnonzero(np.bincount(which)[which] > 1).tolist():
                     again[int(which[i])].append(int(places[i]))
-                more = [None] * len(once)
+                more, later = [None] * len(once), [None] * len(once)
                 for i, p in again.items():  # its places stand or fall together, so they merge at once
+                    later[i] = [a << 32 | b for a, b in merged([x for x in p if x >> 32 >= p[0] & 0xFFFFFFFF])]  # in order of place, as starts are
                     firsts[i], *rest = [a << 32 | b for a, b in merged(p)]
                     more[i] = rest or None
             out["run"].append(once.view(np.int64))
             out["place"].append(firsts)
             out["more"].append(more)
+            out["later"].append(later)
         return out
 
     return batch
@@ -180,13 +187,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     equal = scratch.cut(kept.join(twice, F.col("h") == F.col("h2")).groupBy("rep").agg(F.collect_list("h").alias("found")), few=True)
     scratch.collect_garbage()
     near = texts(docs).join(equal.hint("merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "found")
-    runs = scratch.cut(map_rows(near, "rep long, run array<long>, place array<long>, more array<array<long>>", _runs_near))
+    runs = scratch.cut(map_rows(near, "rep long, run array<long>, place array<long>, more array<array<long>>, later array<array<long>>", _runs_near))
     scratch.collect_garbage()
-    each = runs.select("rep", F.inline(F.arrays_zip("run", "place", F.coalesce("more", F.array().cast("array<array<long>>")).alias("more"))))
-    shared = each.groupBy("run").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select(F.col("run").alias("run2"), "lo")
+    listed = lambda c: F.coalesce(c, F.array().cast("array<array<long>>")).alias(c)
+    each = runs.select("rep", F.inline(F.arrays_zip("run", "place", listed("more"), listed("later"))))
+    inside = F.max(F.col("later").isNotNull())  # a document has the run more than once
+    shared = each.groupBy("run").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), inside.alias("inside")).where("lo < hi OR inside").select(F.col("run").alias("run2"), "lo")
     later = F.col("rep") > F.col("lo")
     gathered = lambda c: F.concat(F.collect_list(F.when(c, F.col("place"))), F.flatten(F.collect_list(F.when(c, F.col("more")))))
-    hits = each.join(shared, F.col("run") == F.col("run2")).groupBy("rep").agg(gathered(F.lit(True)).alias("places"), gathered(later).alias("drops"))
+    hits = each.join(shared, F.col("run") == F.col("run2")).groupBy("rep").agg(gathered(F.lit(True)).alias("places"), F.concat(gathered(later), F.flatten(F.collect_list(F.when(~later, F.col("later"))))).alias("drops"))
     spans = scratch.cut(map_rows(hits, "rep long, n_spans long, repeat_chars long, spans string, drop_spans string", _spans), few=True)
     scratch.collect_garbage()
     classes = reps.select("digest", "rep", "copies").join(spans.withColumnRenamed("rep", "rep2"), F.col("rep") == F.col("rep2"), "left").where("copies > 1 OR n_spans > 0")
