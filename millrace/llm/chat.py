@@ -11,7 +11,8 @@ conversation in one place, so one with a third of all turns is like any other:
 
 In a table of turns, an assistant's text of the form
 {"tool_calls":[{"id":...,"name":...,"arguments":{...},"after":[...]}]} holds
-calls, and a turn of role "tool" with {"call_id":...,"content":...} a result.
+calls; what it has under "content" beside them is a message of its own, as is
+the turn if its list of calls is empty. A turn of role "tool" with {"call_id":...,"content":...} is a result.
 Every user turn is a call too, to the tool "reply" with its text as prompt, and
 an assistant's plain turn right after it that call's result.
 
@@ -42,11 +43,13 @@ _CALLS = "tool_calls array<struct<id string, name string, arguments string, afte
 def _messages(turns: DataFrame) -> DataFrame:
     """conv_id, turn, kind, call_id, role, body and, for calls, name, arguments, after."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    told = F.when((F.col("role") == "assistant") & F.col("text").startswith("{") & F.col("text").contains('"tool_calls"'), F.from_json("text", _CALLS)["tool_calls"])
-    rows = rows.withColumns({"told": told, "back": F.when(F.col("role") == "tool", F.from_json("text", "call_id string, content string"))})
+    told = F.when((F.col("role") == "assistant") & F.col("text").startswith("{") & F.col("text").contains('"tool_calls"'), F.from_json("text", f"{_CALLS}, content string"))
+    rows = rows.withColumns({"told": told["tool_calls"], "said": told["content"], "back": F.when(F.col("role") == "tool", F.from_json("text", "call_id string, content string"))})
     nothing = F.lit(None).cast("string")
     none = F.lit(None).cast("array<string>")
     made = rows.where("told IS NOT NULL").select("conv_id", "turn", "role", F.inline("told")).select("conv_id", "turn", F.lit("call").alias("kind"), F.col("id").alias("call_id"), "role", nothing.alias("body"), "name", "arguments", "after")
+    beside = (F.col("said") != "") | (F.size("told") == 0)
+    said = rows.where(F.col("told").isNotNull() & F.coalesce(beside, F.lit(False))).select("conv_id", "turn", F.lit("message").alias("kind"), nothing.alias("call_id"), "role", F.coalesce("said", F.lit("")).alias("body"), nothing.alias("name"), nothing.alias("arguments"), none.alias("after"))
     own = F.concat(F.lit("turn-"), F.col("turn").cast("string"))
     plain = rows.where("told IS NULL")
     is_user, is_reply, is_tool = F.col("role") == "user", F.col("role") == "assistant", F.col("back.call_id").isNotNull()
@@ -57,7 +60,7 @@ def _messages(turns: DataFrame) -> DataFrame:
         "conv_id", "turn", kind.alias("kind"), F.when(kind == "call", own).when(is_tool, F.col("back.call_id")).when(is_reply, before).alias("call_id"), "role",
         F.when(is_tool, F.coalesce("back.content", F.lit(""))).otherwise(F.col("text")).alias("body"), F.when(kind == "call", "reply").alias("name"), F.when(kind == "call", asked).alias("arguments"), none.alias("after"),
     )
-    return plain.unionByName(made)
+    return plain.unionByName(made).unionByName(said)
 
 
 def _valid(schemas: dict[str, dict[str, str]]) -> Column:

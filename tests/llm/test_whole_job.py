@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from millrace.llm import pii, quality_rules, repeats
+from millrace.llm import chat, pii, quality_rules, repeats
 from millrace.llm.common import documents
 
 from . import brute
@@ -80,3 +80,12 @@ def test_repeats_inside_one_document(spark):
     assert {1, 2, 3, 5} <= set(got) and not {4, 6} & set(got)
     first, second = len(block(1, 70)), len(f"{block(1, 70)} {block(2, 9)} ")
     assert got[1] == (f"0:{first},{second}:{second + first}", f"{second}:{second + first}")
+
+
+def test_chat_content_beside_calls_and_empty_lists(spark):
+    call = '{"id":"x","name":"reply","arguments":{"prompt":"a"}}'
+    texts = ['{"tool_calls":[]}', '{"content":"let me look","tool_calls":[%s]}' % call, '{"content":"none","tool_calls":[]}', '{"content":null,"tool_calls":[%s]}' % call, '{"content":"","tool_calls":[%s]}' % call]
+    got = chat.format_chats(spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()
+    said = lambda text: '{"content":"%s","role":"assistant","type":"message"}' % text
+    assert sorted((r.turn, r.line) for r in got if r.kind == "message") == [(0, said("")), (1, said("let me look")), (2, said("none"))]
+    assert sorted(r.turn for r in got if r.kind == "call") == [1, 3, 4] and len(got) == 6
