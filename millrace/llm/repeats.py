@@ -8,8 +8,8 @@ the same suffix, at both places at the same distance from their start.
 
 1. Documents of one text are one class, and repeat as a whole if it has LEAST
    words; one of them goes on.
-2. The kept suffixes are brought in order of their first PREFIX words' hash and
-   equal neighbours found: a grouped count, whose map side merges the suffixes
+2. The kept suffixes are grouped by their first PREFIX words' hash, in place of
+   sorting and comparing neighbours: a count, whose map side merges the suffixes
    of a common passage before the shuffle. All others are dropped.
 3. From each suffix that has an equal, the match is extended to the left by up
    to SPAN - 1 words and to the right: every run of LEAST words that starts
