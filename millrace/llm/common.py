@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,63 +17,69 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of its own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/millrace-{spark.sparkContext.applicationId}"
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"file://{tempfile.gettempdir()}/checkpoints/millrace-{spark.sparkContext.applicationId}"
+    raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that the driver and all executors share")
 
 
-#: Input bytes that make a file of their own worth while.
-FILE_BYTES = 8 << 20
-#: Rows that a map takes at once.
-SLICE = 512
-
-
-def few_files(df: DataFrame, like: DataFrame, deal: bool = True) -> DataFrame:
-    """df in no more partitions than the bytes of `like`, the table it comes from, are worth.
-
-    Where the shuffle partitions are more than that, as in a session set up for
-    larger tables, df would be written to that many tiny files, each of which
-    costs more than its rows. Narrow rows are dealt anew; with deal=False
-    partitions are put together where they are. Else nothing is done.
-    """
-    files = 1 + int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // FILE_BYTES
-    if files >= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        return df
-    return df.repartition(files) if deal else df.coalesce(files)
+#: Rows and bytes that a map takes at once; a longer row goes alone.
+SLICE, SLICE_BYTES = 512, 8 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
     """Tables written to the shared folder in place of long lineage.
 
     cut() runs a plan once, writes it as Parquet and returns a reader of the
-    files, so a lost executor costs a re-read and no recomputation. drop()
-    removes tables that no later step reads. The rest go with the folder,
-    which belongs to the cluster, as with checkpoint().
-
-    like is the table that the work is on; tables cut with few=True get no more
-    files than few_files() says.
+    files, so a lost executor costs a re-read and no recomputation. The plan's
+    shuffle files go as soon as its table is written. drop() removes tables that
+    no later step reads; those behind a result are named by result(), for
+    release() to remove when it has been written. What is left goes with the
+    folder, which belongs to the cluster, as with checkpoint().
     """
 
-    def __init__(self, spark: SparkSession, name: str, like: DataFrame):
-        self.spark, self.base, self.like = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}", like
-        self.n = 0
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.base = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.n, self.live = 0, set()
 
-    def cut(self, df: DataFrame, few: bool = False) -> DataFrame:
+    def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        (few_files(df, self.like) if few else df).write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+        self.live.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._millrace_path = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark.sparkContext._jvm
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._millrace_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._millrace_path)
+
+    def result(self, df: DataFrame) -> DataFrame:
+        """df, which reads tables of this scratch."""
+        df._millrace_scratch = self
+        return df
+
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        self.live.discard(path)
+
 
-    def collect_garbage(self) -> None:
-        """Lets Spark's cleaner delete shuffle files of plans that are done."""
-        self.spark.sparkContext._jvm.System.gc()
+def release(df: DataFrame) -> None:
+    """Removes the tables that a result was read from, when it has been written elsewhere."""
+    if scratch := getattr(df, "_millrace_scratch", None):
+        for path in list(scratch.live):
+            scratch._delete(path)
 
 
 class Kept(dict):
@@ -109,10 +118,26 @@ def sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
 
-def keep_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is in ids (one column)."""
-    ids = ids.toDF("__keep")
-    return few_files(docs.join(ids, docs["doc_id"].eqNullSafe(ids["__keep"]), "left_semi"), docs, deal=False)
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """docs with columns named c0, c1, ..., whatever their names are, and those that the operators read by their names."""
+    out = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return out, {n: F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text", "source") if n in docs.columns}
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of at most SLICE rows and, but for single rows, SLICE_BYTES of texts."""
+    size = np.ones(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        elif pa.types.is_list(column.type):
+            size += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(at + SLICE, max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict]]) -> DataFrame:
@@ -126,8 +151,7 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batch):
                 yield pa.RecordBatch.from_pydict(f(*(part.column(c).to_pylist() for c in range(len(names)))), schema=target)
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -135,3 +159,16 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict]
 
     target = to_arrow_schema(_parse_datatype_string(schema))
     return df.mapInArrow(run, schema)
+
+
+def filter_rows(df: DataFrame, column: str, start: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of df for which a function of one column, taken as a list, says true. No row moves."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = start()
+        for batch in batches:
+            kept = [x for part in slices(batch.select([at])) for x in f(part.column(0).to_pylist())]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
