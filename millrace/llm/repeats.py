@@ -1,47 +1,53 @@
 """Repeated passages by a sparse suffix array.
 
 A passage repeats if a run of LEAST words stands at two places of the corpus, in
-two documents of different text or in one. Suffixes are kept only at minimiser positions: of every SPAN consecutive
-positions the one whose next PREFIX words have the least hash. The choice
-depends on content alone and LEAST = PREFIX + SPAN - 1, so equal runs keep
-the same suffix, at both places at the same distance from their start.
+two documents of different text or in one. Suffixes are kept only at minimiser
+positions: of every SPAN consecutive positions the one whose next PREFIX words
+have the least hash. The choice depends on content alone and LEAST = PREFIX +
+SPAN - 1, so each run of LEAST words has its own suffix, and equal runs have equal
+ones, at the same distance from their start.
 
 1. Documents of one text are one class, and repeat as a whole if it has LEAST
-   words; one of them goes on.
-2. The kept suffixes are grouped by their first PREFIX words' hash, in place of
-   sorting and comparing neighbours: a count, whose map side merges the suffixes
-   of a common passage before the shuffle. All others are dropped.
-3. From each suffix that has an equal, the match is extended to the left by up
-   to SPAN - 1 words and to the right: every run of LEAST words that starts
-   there is looked up among all documents' runs. Those found in two documents
-   or twice in one, merged, are the passages, at their full length.
-
-A passage in very many documents is never gathered: counts combine before the
-shuffle, a run that a document repeats goes out once, and the way back is a join whose large partitions Spark splits. What
-is collected for a document is bounded by its own length. Runs are told apart
-by 64-bit hashes of their words.
+   words; one of them goes on. Classes are known by the text's SHA-256.
+2. A count of the kept suffixes by the hash of their first PREFIX words drops
+   those that have no equal, which is most, before any words move.
+3. The others come with the words around them, as far as their runs reach. They
+   are range-sorted by their words and neighbours are compared: those that agree
+   in PREFIX words or more stand side by side as a group.
+4. Within a group matches are extended left and right, word by word: a run that
+   reaches `a` words to the left of its suffix repeats if another member agrees
+   in those words and in what is left of LEAST to the right. All are settled, not
+   only those of next neighbours, since one neighbour may agree further to the
+   left and another further to the right.
+5. A suffix of more than HOT equals, as of a passage in very many documents,
+   isn't gathered: its runs, as 128-bit BLAKE2 digests of their words, are counted with
+   a map-side merge, and the counts joined back, where Spark splits large partitions.
+
+What meets in a task is a group of HOT members at most, or what one document has.
 
 Result: a row for each document with a passage: doc_id, n_words, n_spans,
 repeat_chars, spans ("start:end,...", code points, end exclusive), drop_spans
-(those of which an earlier document, by doc_id, has the run too, or which are
-behind the run's first place in their own document and don't overlap it) and
-copies (documents with the same text, itself included).
+(those of which an earlier document has the run too, or which are behind the
+run's first place in their own document and don't overlap it) and copies
+(documents with the same text, itself included). Earlier is what has the lesser
+doc_id, null last; a class counts by its least.
 
 Defined results: null and empty texts, and those of fewer than LEAST words,
 have no passage and no row. Rows that repeat a doc_id and its text are copies
-like any other. Rows with a null id are copies of their text's documents, but a
-text that only such rows have is passed over. An empty table gives an empty
-result. Other columns are ignored.
+like any other; of several texts of one doc_id each is a document of its own. Rows
+with a null id are documents like the rest. An empty table gives an empty result.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +56,8 @@ from .common import Kept, Scratch, documents, map_rows, texts
 
 PREFIX, SPAN = 26, 25
 LEAST = PREFIX + SPAN - 1
+#: Equal suffixes that one task takes.
+HOT = 1000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -83,78 +91,104 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_word_hashes().__getitem__, words), np.uint64, len(words))
 
 
-def kept_suffixes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the kept suffixes and the hashes of their first PREFIX words."""
+def kept_suffixes(w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the kept suffixes, the hashes of their first PREFIX words, and the first and the number of the runs that each is the suffix of."""
     h = run_hashes(w, PREFIX)
     least = np.lib.stride_tricks.sliding_window_view(h, SPAN).argmin(1) + np.arange(len(h) - SPAN + 1)
-    at = np.unique(least)
-    return at, h[at]
+    at, first, runs = np.unique(least, return_index=True, return_counts=True)
+    return at, h[at], first, runs
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, n_words, n_chars and the hashes of the kept suffixes, for texts of LEAST words or more.
-
-    A hash that a document has more than once is listed twice, which is enough for the count over all.
-    """
+    """doc_id, digest, n_words, n_chars and the hashes of the kept suffixes, for texts of LEAST words or more."""
 
     def start():
-        def batch(ids, rows):
+        def batch(ids, rows, digests):
             out = {"doc_id": [], "digest": [], "n_words": [], "n_chars": [], "kept": []}
-            for i, text in zip(ids, rows, strict=True):
-                data = text.encode()
-                words = data.split()
+            for i, text, digest in zip(ids, rows, digests, strict=True):
+                words = text.encode().split()
                 if len(words) >= LEAST:
-                    kept, often = np.unique(kept_suffixes(word_hashes(words))[1], return_counts=True)
-                    for name, x in zip(out, (i, blake2b(data, digest_size=16).digest(), len(words), len(text), np.repeat(kept, np.minimum(often, 2)).view(np.int64)), strict=True):
+                    for name, x in zip(out, (i, digest, len(words), len(text), kept_suffixes(word_hashes(words))[1].view(np.int64)), strict=True):
                         out[name].append(x)
             return out
 
         return batch
 
-    return map_rows(texts(docs), "doc_id long, digest binary, n_words long, n_chars long, kept array<long>", start)
+    return map_rows(_digested(docs), "doc_id long, digest binary, n_words long, n_chars long, kept array<long>", start)
+
+
+def _digested(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+
 
+_SEEDS = "digest binary, rep long, cold array<struct<prefix:string,before:string,after:string,places:array<long>>>, hot array<struct<run:binary,place:long,behind:boolean>>"
 
-def _runs_near():
-    """For map_rows: every run of LEAST words that holds a kept suffix of the given hashes within its first SPAN positions."""
 
-    def batch(ids, rows, found):
-        out = {"rep": ids, "run": [], "place": [], "more": [], "later": []}
+def _seeds():
+    """For map_rows: the suffixes that have equals, with the words that their runs reach, and the runs of the hot ones."""
+
+    def batch(digests, reps, rows, found):
+        cold_of, hot_of = [], []
         for text, equal in zip(rows, found, strict=True):
             words = text.encode().split()
-            if len(words) < LEAST:  # another text of the same doc_id
-                for name in ("run", "place", "more", "later"):
-                    out[name].append([])
-                continue
-            w = word_hashes(words)
-            at, h = kept_suffixes(w)
-            at = at[np.isin(h, np.array(equal, np.int64).view(np.uint64))]
-            runs = run_hashes(w, LEAST)
-            near = np.zeros(len(runs) + SPAN, np.int32)
-            np.add.at(near, np.clip(at - SPAN + 1, 0, None), 1)
-            np.add.at(near, np.minimum(at + 1, len(near) - 1), -1)
-            starts = np.flatnonzero(np.cumsum(near)[: len(runs)] > 0)
+            at, h, first, runs = kept_suffixes(word_hashes(words))
             spots = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
-            places = (spots[starts, 0] << 32) | spots[starts + LEAST - 1, 1]
-            once, first, which = np.unique(runs[starts], return_index=True, return_inverse=True)
-            firsts, more, later = places[first], None, None
-            if len(once) < len(starts):  # a run that a document repeats is still one row
-                again = defaultdict(list)
-                for i in np.flatnonzero(np.bincount(which)[which] > 1).tolist():
-                    again[int(which[i])].append(int(places[i]))
-                more, later = [None] * len(once), [None] * len(once)
-                for i, p in again.items():  # its places stand or fall together, so they merge at once
-                    later[i] = [a << 32 | b for a, b in merged([x for x in p if x >> 32 >= p[0] & 0xFFFFFFFF])]  # in order of place, as starts are
-                    firsts[i], *rest = [a << 32 | b for a, b in merged(p)]
-                    more[i] = rest or None
-            out["run"].append(once.view(np.int64))
-            out["place"].append(firsts)
-            out["more"].append(more)
-            out["later"].append(later)
-        return out
+            places = (spots[: len(words) - LEAST + 1, 0] << 32) | spots[LEAST - 1 :, 1]
+            is_hot = {e["h"]: e["hot"] for e in equal}
+            joined = lambda i, j: b" ".join(words[i:j]).decode()  # noqa: E731, B023
+            cold, hot, seen = [], [], {}
+            for p, key, s, n in zip(at.tolist(), h.view(np.int64).tolist(), first.tolist(), runs.tolist(), strict=True):
+                if key not in is_hot:
+                    continue
+                own = places[s : s + n].tolist()
+                if not is_hot[key]:
+                    cold.append({"prefix": joined(p, p + PREFIX), "before": joined(s, p), "after": joined(p + PREFIX, s + n - 1 + LEAST), "places": own})
+                    continue
+                for i, place in zip(range(s, s + n), own, strict=True):
+                    run = blake2b(b" ".join(words[i : i + LEAST]), digest_size=16).digest()
+                    end = seen.setdefault(run, place) & 0xFFFFFFFF  # of its first place
+                    hot.append({"run": run, "place": place, "behind": place >> 32 >= end})
+            cold_of.append(cold)
+            hot_of.append(hot)
+        return {"digest": digests, "rep": reps, "cold": cold_of, "hot": hot_of}
 
     return batch
 
 
+Member = tuple[tuple, str, str, list[int]]
+
+
+def settle(group: list[Member]) -> Iterator[tuple[bytes, list[int], list[int]]]:
+    """Digest, repeated places and places to drop of the members of a group of equal suffixes.
+
+    A member: its document, as (id is null, id, digest), the words before and
+    after the suffix and the places of its runs, from the first to the last.
+    """
+    contexts: dict[tuple[str, str], list[int]] = {}
+    for i, (_, before, after, _) in enumerate(group):
+        contexts.setdefault((before, after), []).append(i)
+    ways: dict[tuple[int, str, str], list[tuple[list[int], int]]] = {}
+    for (before, after), members in contexts.items():
+        left, right = before.split(), after.split()
+        for j in range(len(group[members[0]][3])):
+            a = len(left) - j
+            ways.setdefault((a, " ".join(left[j:]), " ".join(right[: LEAST - PREFIX - a])), []).append((members, j))
+    found: dict[int, tuple[list[int], list[int]]] = {}
+    for held in ways.values():
+        if len(held) == 1 and len(held[0][0]) == 1:
+            continue
+        spots = [(group[i][0], group[i][3][j], i) for members, j in held for i in members]
+        doc, place, _ = min(spots)
+        end = place & 0xFFFFFFFF
+        for who, here, i in spots:
+            places, drops = found.setdefault(i, ([], []))
+            places.append(here)
+            if who != doc or here >> 32 >= end:
+                drops.append(here)
+    for i, (places, drops) in found.items():
+        yield group[i][0][2], _packed(places), _packed(drops)
+
+
 def merged(places: list[int]) -> list[tuple[int, int]]:
     """Spans from packed starts and ends."""
     out: list[tuple[int, int]] = []
@@ -167,46 +201,82 @@ def merged(places: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _packed(places: list[int]) -> list[int]:
+    return [a << 32 | b for a, b in merged(places)]
+
+
+_PLACES = "digest binary, places array<long>, drops array<long>"
+_PLACES_ARROW = pa.schema([("digest", pa.binary()), ("places", pa.list_(pa.int64())), ("drops", pa.list_(pa.int64()))])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of their prefixes: neighbours that agree form a group, which is settled when the next prefix differs."""
+    last, group, out = None, [], []
+
+    def done() -> pa.RecordBatch:
+        columns = [list(c) for c in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACES_ARROW, strict=True)], schema=_PLACES_ARROW)
+
+    for batch in batches:
+        for prefix, digest, rep, before, after, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if prefix != last:
+                if len(group) > 1:
+                    out.extend(settle(group))
+                if len(out) > 2000:
+                    yield done()
+                last, group = prefix, []
+            group.append(((rep is None, rep or 0, digest), before, after, places))
+    if len(group) > 1:
+        out.extend(settle(group))
+    if out:
+        yield done()
+
+
 def _spans():
-    def batch(ids, places, drops):
+    def batch(digests, places, drops):
         all_ = [merged(p) for p in places]
         text = lambda spans: ",".join(f"{a}:{b}" for a, b in spans)
-        return {"rep": ids, "n_spans": [len(s) for s in all_], "repeat_chars": [sum(b - a for a, b in s) for s in all_], "spans": [text(s) for s in all_], "drop_spans": [text(merged(d)) for d in drops]}
+        return {"digest": digests, "n_spans": [len(s) for s in all_], "repeat_chars": [sum(b - a for a, b in s) for s in all_], "spans": [text(s) for s in all_], "drop_spans": [text(merged(d)) for d in drops]}
 
     return batch
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "repeats", docs)
+def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "repeats")
     rows = scratch.cut(suffixes(docs))
     one = rows.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "kept")).alias("r"), F.count(F.lit(1)).alias("copies"))
-    reps = scratch.cut(one.select("digest", "copies", F.col("r.doc_id").alias("rep"), F.col("r.kept").alias("kept")).where("rep IS NOT NULL"), few=True)
-    scratch.collect_garbage()
-    kept = reps.select("rep", F.explode("kept").alias("h"))
-    twice = kept.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("h2"))
-    equal = scratch.cut(kept.join(twice, F.col("h") == F.col("h2")).groupBy("rep").agg(F.collect_list("h").alias("found")), few=True)
-    scratch.collect_garbage()
-    near = texts(docs).join(equal.hint("merge"), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "found")
-    runs = scratch.cut(map_rows(near, "rep long, run array<long>, place array<long>, more array<array<long>>, later array<array<long>>", _runs_near))
-    scratch.collect_garbage()
-    listed = lambda c: F.coalesce(c, F.array().cast("array<array<long>>")).alias(c)
-    each = runs.select("rep", F.inline(F.arrays_zip("run", "place", listed("more"), listed("later"))))
-    inside = F.max(F.col("later").isNotNull())  # a document has the run more than once
-    shared = each.groupBy("run").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), inside.alias("inside")).where("lo < hi OR inside").select(F.col("run").alias("run2"), "lo")
-    later = F.col("rep") > F.col("lo")
-    gathered = lambda c: F.concat(F.collect_list(F.when(c, F.col("place"))), F.flatten(F.collect_list(F.when(c, F.col("more")))))
-    hits = each.join(shared, F.col("run") == F.col("run2")).groupBy("rep").agg(gathered(F.lit(True)).alias("places"), F.concat(gathered(later), F.flatten(F.collect_list(F.when(~later, F.col("later"))))).alias("drops"))
-    spans = scratch.cut(map_rows(hits, "rep long, n_spans long, repeat_chars long, spans string, drop_spans string", _spans), few=True)
-    scratch.collect_garbage()
-    classes = reps.select("digest", "rep", "copies").join(spans.withColumnRenamed("rep", "rep2"), F.col("rep") == F.col("rep2"), "left").where("copies > 1 OR n_spans > 0")
-    out = rows.select("doc_id", F.col("digest").alias("d"), "n_words", "n_chars").join(classes, F.col("d") == F.col("digest"))
+    reps = scratch.cut(one.select("digest", "copies", F.col("r.doc_id").alias("rep"), F.col("r.kept").alias("kept")))
+    twice = scratch.cut(reps.select(F.explode("kept").alias("h2")).groupBy("h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h2", (F.col("n") > hot).alias("hot")))
+    kept = reps.select("digest", "rep", F.explode(F.array_distinct("kept")).alias("h"))
+    equal = kept.join(twice, F.col("h") == F.col("h2")).groupBy("digest", "rep").agg(F.collect_list(F.struct("h", "hot")).alias("found"))
+    # One row a class: by digest and id, so that the copies of a text don't meet; merge, as the classes grow with the documents.
+    who = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("who")
+    equal = equal.select(F.col("digest").alias("d2"), who(F.col("rep")).alias("who2"), "rep", "found")
+    near = _digested(docs).select("digest", "text", who(F.col("doc_id"))).join(equal.hint("merge"), (F.col("digest") == F.col("d2")) & (F.col("who") == F.col("who2")))
+    near = near.groupBy("digest", "who").agg(F.first("rep").alias("rep"), F.first("text").alias("text"), F.first("found").alias("found")).select("digest", "rep", "text", "found")
+    seeds = scratch.cut(map_rows(near, _SEEDS, _seeds))
+    scratch.drop(twice)
+    cold = seeds.select("digest", "rep", F.inline("cold")).select("prefix", "digest", "rep", "before", "after", "places")
+    cold = cold.repartitionByRange("prefix").sortWithinPartitions("prefix").mapInArrow(_neighbours, _PLACES)
+    each = seeds.select("digest", "rep", F.inline("hot"))
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", F.col("digest").alias("by")))
+    shared = scratch.cut(each.groupBy(F.col("run").alias("run2")).agg(F.count(F.lit(1)).alias("n"), first["by"].alias("by")).where("n > 1").select("run2", "by"))
+    drop = F.col("behind") | (F.col("by") != F.col("digest"))
+    again = each.join(shared, F.col("run") == F.col("run2")).groupBy("digest").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(drop, F.col("place"))).alias("drops"))
+    hits = cold.union(again).groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("drops")).alias("drops"))
+    spans = map_rows(hits, "digest binary, n_spans long, repeat_chars long, spans string, drop_spans string", _spans)
+    classes = reps.select("digest", "rep", "copies").join(spans.withColumnRenamed("digest", "d3"), F.col("digest") == F.col("d3"), "left").where("copies > 1 OR n_spans > 0")
+    classes = scratch.cut(classes.select(F.col("digest").alias("d4"), "rep", "copies", "n_spans", "repeat_chars", "spans", "drop_spans"))
+    scratch.drop(seeds, shared, reps)
+    out = rows.select("doc_id", "digest", "n_words", "n_chars").join(classes, F.col("digest") == F.col("d4"))
     copy = F.col("copies") > 1
     whole = F.concat(F.lit("0:"), F.col("n_chars"))
     later = copy & ~F.col("doc_id").eqNullSafe(F.col("rep"))
-    return out.select(
+    return scratch.result(out.select(
         "doc_id", "n_words", F.when(copy, 1).otherwise(F.col("n_spans")).cast("long").alias("n_spans"), F.when(copy, F.col("n_chars")).otherwise(F.col("repeat_chars")).alias("repeat_chars"),
         F.when(copy, whole).otherwise(F.col("spans")).alias("spans"), F.when(later, whole).otherwise(F.coalesce("drop_spans", F.lit(""))).alias("drop_spans"), "copies",
-    )
+    ))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
