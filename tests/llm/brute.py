@@ -1,7 +1,7 @@
 """Plain versions of the operators, and tables with every odd case."""
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, digest string, salt int, kept string, n long, rep long, size string, key int, bucket string, member long, h string, v string, __none int, found string, places string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -85,3 +85,30 @@ def pii(text):
         "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(number(m)) <= 19 and luhn(number(m))],
         "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(number(m)) <= 15],
     }
+
+
+def repeats(rows):
+    """Spans and spans to drop of every text of 50 words or more that two places have, each text being one document."""
+
+    def spans_of(places):
+        out = []
+        for a, b in sorted(places):
+            if out and a <= out[-1][1]:
+                out[-1][1] = max(b, out[-1][1])
+            else:
+                out.append([a, b])
+        return out
+
+    places = defaultdict(lambda: defaultdict(list))
+    for i, t in rows:
+        w, spots = words(t), [m.span() for m in WORD.finditer(t)]
+        for s in range(len(w) - 49):
+            places[tuple(w[s : s + 50])][i].append((spots[s][0], spots[s + 49][1]))
+    spans, drops = defaultdict(list), defaultdict(list)
+    for by in places.values():
+        if sum(map(len, by.values())) > 1:
+            for i, p in by.items():
+                spans[i] += p
+                drops[i] += p if i > min(by) else [x for x in p if x[0] >= p[0][1]]
+    text = lambda p: ",".join(f"{a}:{b}" for a, b in spans_of(p))
+    return {i: (text(p), text(drops[i])) for i, p in spans.items()}

@@ -197,14 +197,14 @@ def test_near_dedup_of_a_large_group_in_small_blocks(spark):
 def test_needed_is_a_bound_for_complete_sketches():
     for n in (1, 4, 40, 48):
         assert near_dedup.needed(n) == -(-75 * n // 100)
-    assert near_dedup.needed(500) < 0.75 * 64
+    assert near_dedup.needed(500) < 0.75 * near_dedup.K
 
 
 def test_components(spark):
     r = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
     df = spark.createDataFrame(links, "a long, b long")
-    got = {x.node: x.root for x in graph.components(df, Scratch(spark, "test", df)).collect()}
+    got = {x.node: x.root for x in graph.components(df, Scratch(spark, "test")).collect()}
     root = {}
     for a, b in links:
         for x in (a, b):
@@ -215,37 +215,36 @@ def test_components(spark):
 
 
 def plain_repeats(rows):
-    classes, runs = defaultdict(list), defaultdict(set)
+    """doc_id, spans and spans to drop of every row with a passage. Of a text's copies the first by id stands for all."""
+    classes = defaultdict(list)
     for i, t in rows:
         classes[t or ""].append(i)
-    reps = {t: min(ids) for t, ids in classes.items()}
-    for t, i in reps.items():
-        w = brute.words(t)
-        for s in range(len(w) - 49):
-            runs[tuple(w[s : s + 50])].add(i)
-    out = {}
-    for t, ids in classes.items():
-        spots = [m.span() for m in brute.WORD.finditer(t)]
-        w = brute.words(t)
-        if len(w) < 50:
+    order = lambda i: (i is None, i or 0)
+    firsts = sorted((order(min(ids, key=order)), sha256(t.encode()).digest(), t) for t, ids in classes.items())
+    found = brute.repeats([(n, t) for n, (_, _, t) in enumerate(firsts)])
+    out = Counter()
+    for n, (_, _, t) in enumerate(firsts):
+        ids, whole = classes[t], f"0:{len(t)}"
+        if len(brute.words(t)) < 50:
             continue
-        hits = [(spots[s][0] << 32 | spots[s + 49][1], min(runs[tuple(w[s : s + 50])]) < reps[t]) for s in range(len(w) - 49) if len(runs[tuple(w[s : s + 50])]) > 1]
-        text = lambda places: ",".join(f"{a}:{b}" for a, b in repeats.merged(places))
+        spans, drops = found.get(n, ("", ""))
         for i in ids:
-            spans, drops = text([p for p, _ in hits]), text([p for p, d in hits if d])
             if len(ids) > 1:
-                spans, drops = f"0:{len(t)}", f"0:{len(t)}" if i != reps[t] else drops
-            if spans:
-                out[i] = (spans, drops)
+                out[i, whole, whole if i != min(ids, key=order) else drops] += 1
+            elif spans:
+                out[i, spans, drops] += 1
     return out
 
 
-def test_repeats_by_brute_force(spark):
-    got = {r.doc_id: (r.spans, r.drop_spans) for r in repeats.query(spark, MORE).collect()}
-    assert got == plain_repeats(texts_of(spark, MORE).items())
-    got = {r.doc_id: (r.spans, r.drop_spans) for r in repeats.repeated_passages(brute.odd(spark)).collect()}
-    assert got == plain_repeats({r[0]: r[1] for r in brute.odd_rows() if r[0] is not None}.items()) | {9: got[9]}
-    assert got[9][0] == f"0:{len(brute.odd_texts()[9])}"  # the table holds document 9 twice
+@pytest.mark.parametrize("hot", [repeats.HOT, 2])
+def test_repeats_by_brute_force(spark, hot):
+    pick = lambda docs: Counter((r.doc_id, r.spans, r.drop_spans) for r in repeats.repeated_passages(docs, hot).collect())
+    assert pick(documents(spark, MORE)) == plain_repeats([(r.doc_id, r.text) for r in documents(spark, MORE).collect()])
+    assert pick(brute.odd(spark)) == plain_repeats([(r[0], r[1]) for r in brute.odd_rows()])
+    passage = " ".join(f"pass{i}" for i in range(60))
+    rows = [(1, f"x y {passage}"), (1, " ".join(f"other{i}" for i in range(90)) + " " + passage), (None, f"lone {passage}"), (7, f"{passage} z"), (None, f"lone {passage}"), (8, f"{passage} t {passage}"), (9, "q " * 60)]
+    got = pick(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == plain_repeats(rows) and len(got) == 6
 
 
 def test_run_hashes_depend_on_the_words_alone():
@@ -277,8 +276,8 @@ def test_pii_on_held_out_rows():
 
 
 def test_pii_adds_nothing_to_plain_documents(spark):
-    rows = pii.query(spark, MORE)
-    assert rows.agg(F.sum("n_added")).first()[0] == 0
+    rows = pii.query(spark, MORE).join(documents(spark, MORE).select("doc_id", "text"), "doc_id")
+    assert rows.where("NOT text RLIKE '[0-9]'").agg(F.sum("n_added")).first()[0] == 0
 
 
 TURNS = "conv_id long, turn long, role string, text string, level string, id int, line string"

@@ -1,7 +1,5 @@
 """Cases that the operators once left out."""
 
-from collections import defaultdict
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -50,23 +48,6 @@ def test_quality_counts_words_in_a_row():
     assert x[:, 5].tolist() == [0.3, 0.0]
 
 
-def plain_repeats(rows):
-    """Spans and spans to drop of every text, each text being one document."""
-    places = defaultdict(lambda: defaultdict(list))
-    for i, t in rows:
-        w, spots = brute.words(t), [m.span() for m in brute.WORD.finditer(t)]
-        for s in range(len(w) - 49):
-            places[tuple(w[s : s + 50])][i].append((spots[s][0], spots[s + 49][1]))
-    spans, drops = defaultdict(list), defaultdict(list)
-    for by in places.values():
-        if sum(map(len, by.values())) > 1:
-            for i, p in by.items():
-                spans[i] += p
-                drops[i] += p if i > min(by) else [x for x in p if x[0] >= p[0][1]]
-    text = lambda p: ",".join(f"{a}:{b}" for a, b in repeats.merged([a << 32 | b for a, b in p]))
-    return {i: (text(p), text(drops[i])) for i, p in spans.items()}
-
-
 def test_repeats_inside_one_document(spark):
     block = lambda k, n: " ".join(f"b{k}x{i}" for i in range(n))
     rows = [
@@ -76,7 +57,7 @@ def test_repeats_inside_one_document(spark):
     seen = {}
     rows += [(100 + r.doc_id, r.text) for r in documents(spark, SMALL).where("text IS NOT NULL").orderBy("doc_id").collect() if seen.setdefault(r.text, r.doc_id) == r.doc_id]
     got = {r.doc_id: (r.spans, r.drop_spans) for r in repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == plain_repeats(rows)
+    assert got == brute.repeats(rows)
     assert {1, 2, 3, 5} <= set(got) and not {4, 6} & set(got)
     first, second = len(block(1, 70)), len(f"{block(1, 70)} {block(2, 9)} ")
     assert got[1] == (f"0:{first},{second}:{second + first}", f"{second}:{second + first}")
