@@ -40,12 +40,17 @@ STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every other stage's are written to the shared folder first."""
+    """The last stage's rows; every other stage's are written to the shared folder first, and go when the next one's are there."""
     docs = common.documents(spark, sf_dir)
-    scratch = common.Scratch(spark, "pipeline", docs)
-    for _, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    scratch = common.Scratch(spark, "pipeline")
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        out = stage(spark, docs, sf_dir)
+        written = scratch.cut(out)
+        common.release(out)
+        if n:
+            scratch.drop(docs)
+        docs = written
+    return scratch.result(STAGES[-1][1](spark, docs, sf_dir))
 
 
 #: The isolation forest and the near copies can't be put in SQL; tests hold run() against brute force.
