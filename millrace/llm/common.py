@@ -27,7 +27,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 #: Rows and bytes that a map takes at once; a longer row goes alone.
-SLICE, SLICE_BYTES = 512, 8 << 20
+SLICE, SLICE_BYTES = 512, 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

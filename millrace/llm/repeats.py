@@ -20,8 +20,10 @@ ones, at the same distance from their start.
    only those of next neighbours, since one neighbour may agree further to the
    left and another further to the right.
 5. A suffix of more than HOT equals, as of a passage in very many documents,
-   isn't gathered: its runs, as 128-bit BLAKE2 digests of their words, are counted with
-   a map-side merge, and the counts joined back, where Spark splits large partitions.
+   isn't gathered. Members with the same words around them, as inside of a common
+   passage, are first merged to one context, on the map side too. The contexts' runs,
+   as 128-bit BLAKE2 digests of their words, are counted, and the counts joined
+   back to the contexts and those to the members; Spark splits large partitions.
 
 What meets in a task is a group of HOT members at most, or what one document has.
 
@@ -121,11 +123,11 @@ def _digested(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
 
-_SEEDS = "digest binary, rep long, cold array<struct<prefix:string,before:string,after:string,places:array<long>>>, hot array<struct<run:binary,place:long,behind:boolean>>"
+_SEEDS = "digest binary, rep long, cold array<struct<prefix:string,before:string,after:string,places:array<long>>>, hot array<struct<context:binary,runs:array<binary>,places:array<long>,behind:array<boolean>>>"
 
 
 def _seeds():
-    """For map_rows: the suffixes that have equals, with the words that their runs reach, and the runs of the hot ones."""
+    """For map_rows: the suffixes that have equals, with the words that their runs reach, and the runs of the hot ones, which tell their context."""
 
     def batch(digests, reps, rows, found):
         cold_of, hot_of = [], []
@@ -144,10 +146,9 @@ def _seeds():
                 if not is_hot[key]:
                     cold.append({"prefix": joined(p, p + PREFIX), "before": joined(s, p), "after": joined(p + PREFIX, s + n - 1 + LEAST), "places": own})
                     continue
-                for i, place in zip(range(s, s + n), own, strict=True):
-                    run = blake2b(b" ".join(words[i : i + LEAST]), digest_size=16).digest()
-                    end = seen.setdefault(run, place) & 0xFFFFFFFF  # of its first place
-                    hot.append({"run": run, "place": place, "behind": place >> 32 >= end})
+                of = [blake2b(b" ".join(words[i : i + LEAST]), digest_size=16).digest() for i in range(s, s + n)]
+                ends = [seen.setdefault(run, place) & 0xFFFFFFFF for run, place in zip(of, own, strict=True)]  # of each run's first place
+                hot.append({"context": blake2b(b"".join(of), digest_size=16).digest(), "runs": of, "places": own, "behind": [place >> 32 >= end for place, end in zip(own, ends, strict=True)]})
             cold_of.append(cold)
             hot_of.append(hot)
         return {"digest": digests, "rep": reps, "cold": cold_of, "hot": hot_of}
@@ -242,6 +243,18 @@ def _spans():
     return batch
 
 
+def _settle_hot(each: DataFrame, scratch: Scratch) -> DataFrame:
+    """digest, places and drops of members of large groups: digest, rep, context, runs, places, behind."""
+    who = F.struct(F.col("rep").isNull().alias("none"), "rep", F.col("digest").alias("by"))
+    contexts = scratch.cut(each.groupBy(F.col("context").alias("c2")).agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("who"), F.first("runs").alias("runs")))
+    runs = contexts.select("c2", "n", "who", F.posexplode("runs").alias("j", "run"))
+    shared = scratch.cut(runs.groupBy(F.col("run").alias("run2")).agg(F.sum("n").alias("total"), F.min("who")["by"].alias("by")).where("total > 1").select("run2", "by"))
+    found = scratch.cut(runs.join(shared, F.col("run") == F.col("run2")).groupBy("c2").agg(F.collect_list(F.struct("j", "by")).alias("found")))
+    out = each.join(found, F.col("context") == F.col("c2"))
+    each_run = F.transform("found", lambda x: F.struct(F.get("places", x["j"]).alias("place"), (F.get("behind", x["j"]) | (x["by"] != F.col("digest"))).alias("drop")))
+    return out.select("digest", each_run.alias("of")).select("digest", F.col("of.place").alias("places"), F.filter("of", lambda x: x["drop"])["place"].alias("drops"))
+
+
 def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = scratch.cut(suffixes(docs))
@@ -259,16 +272,12 @@ def repeated_passages(docs: DataFrame, hot: int = HOT) -> DataFrame:
     scratch.drop(twice)
     cold = seeds.select("digest", "rep", F.inline("cold")).select("prefix", "digest", "rep", "before", "after", "places")
     cold = cold.repartitionByRange("prefix").sortWithinPartitions("prefix").mapInArrow(_neighbours, _PLACES)
-    each = seeds.select("digest", "rep", F.inline("hot"))
-    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", F.col("digest").alias("by")))
-    shared = scratch.cut(each.groupBy(F.col("run").alias("run2")).agg(F.count(F.lit(1)).alias("n"), first["by"].alias("by")).where("n > 1").select("run2", "by"))
-    drop = F.col("behind") | (F.col("by") != F.col("digest"))
-    again = each.join(shared, F.col("run") == F.col("run2")).groupBy("digest").agg(F.collect_list("place").alias("places"), F.collect_list(F.when(drop, F.col("place"))).alias("drops"))
+    again = _settle_hot(seeds.select("digest", "rep", F.inline("hot")), scratch)
     hits = cold.union(again).groupBy("digest").agg(F.flatten(F.collect_list("places")).alias("places"), F.flatten(F.collect_list("drops")).alias("drops"))
     spans = map_rows(hits, "digest binary, n_spans long, repeat_chars long, spans string, drop_spans string", _spans)
     classes = reps.select("digest", "rep", "copies").join(spans.withColumnRenamed("digest", "d3"), F.col("digest") == F.col("d3"), "left").where("copies > 1 OR n_spans > 0")
     classes = scratch.cut(classes.select(F.col("digest").alias("d4"), "rep", "copies", "n_spans", "repeat_chars", "spans", "drop_spans"))
-    scratch.drop(seeds, shared, reps)
+    scratch.drop(seeds, reps)
     out = rows.select("doc_id", "digest", "n_words", "n_chars").join(classes, F.col("digest") == F.col("d4"))
     copy = F.col("copies") > 1
     whole = F.concat(F.lit("0:"), F.col("n_chars"))
