@@ -70,3 +70,25 @@ def test_chat_content_beside_calls_and_empty_lists(spark):
     said = lambda text: '{"content":"%s","role":"assistant","type":"message"}' % text
     assert sorted((r.turn, r.line) for r in got if r.kind == "message") == [(0, said("")), (1, said("let me look")), (2, said("none"))]
     assert sorted(r.turn for r in got if r.kind == "call") == [1, 3, 4] and len(got) == 6
+
+
+def test_chat_chains_clashes_and_order(spark):
+    """A chain of 500 calls, one that waits for several, written names like the made ones, results before their calls, texts that can't be read."""
+    import json
+
+    say = lambda calls: json.dumps({"tool_calls": calls})
+    call = lambda i, *after: {"id": i, "name": "reply", "arguments": {"prompt": i}, "after": list(after)}
+    rows = [(1, n, "assistant", say([call(f"c{n}", *([f"c{n - 1}"] if n else []))])) for n in range(500)]
+    rows += [(1, 500, "assistant", say([call("wide", "c499", "c3"), call("over", "wide", "c499"), call("r1", "r2"), call("r2", "r3"), call("r3", "r1"), call("behind", "r1", "c0")]))]
+    rows += [(2, 0, "user", "hi"), (2, 1, "assistant", say([call("turn-0")])), (2, 2, "tool", '{"call_id":"late","content":"x"}'), (2, 3, "assistant", say([call("late")])), (2, 4, "tool", "not json"), (2, 5, "assistant", '{"tool_calls": [broken')]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 500 + 6 + 6
+    level = {r.call_id: r.level for r in got if r.conv_id == 1}
+    assert all(level[f"c{n}"] == 2 * n for n in range(500))
+    assert (level["wide"], level["over"]) == (1000, 1002)
+    assert [level[i] for i in ("r1", "r2", "r3", "behind")] == [None] * 4
+    two = {r.turn: (r.kind, r.call_id, r.linked, r.valid) for r in got if r.conv_id == 2}
+    assert two == {
+        0: ("call", "turn-0", False, True), 1: ("call", "turn-0", False, True), 2: ("result", "late", False, True), 3: ("call", "late", False, True),
+        4: ("result", None, False, False), 5: ("message", None, False, False),
+    }
