@@ -43,7 +43,7 @@ AROUND = 32
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -79,12 +79,23 @@ def emails(text: str) -> list[Span]:
     return out
 
 
+def quads(run: str, start: int) -> list[Span]:
+    """Of a run of numbers and dots each four numbers in turn, if none is above 255. One pass; a pattern that tries each digit as a start takes the square of a long number's length."""
+    out, parts = [], run.split(".")
+    for i in range(0, len(parts) - 3, 4):
+        length = sum(map(len, parts[i : i + 4])) + 3
+        if all(len(p := part.lstrip("0")) < 4 and int(p or 0) < 256 for part in parts[i : i + 4]):
+            out.append((start, start + length))
+        start += length + 1
+    return out
+
+
 def base(text: str) -> dict[str, list[Span]]:
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     if "@" in text:
         out["email"] = emails(text)
     if _DIGIT.search(text):
-        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) < 4 and int(p or 0) < 256 for part in m[0].split("."))]
+        out["ip"] = [span for m in _DOTTED.finditer(text) if m[0].count(".") > 2 for span in quads(m[0], m.start())]
         out["card"] = [m.span() for m in _CARD.finditer(text) if 16 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         if "+" in text:
             out["phone"] = [m.span() for m in _PHONE.finditer(text) if 8 <= len(_digits(m[0])) <= 15]
