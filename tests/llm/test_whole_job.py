@@ -1,11 +1,15 @@
 """Cases that the operators once left out."""
 
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, pii, quality_rules, repeats
+from millrace.llm import chat, licenses, pii, quality_rules, repeats
 from millrace.llm.common import documents
 
+from ..oracle import same
 from . import brute
 
 SMALL, MORE, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -92,3 +96,52 @@ def test_chat_chains_clashes_and_order(spark):
         0: ("call", "turn-0", False, True), 1: ("call", "turn-0", False, True), 2: ("result", "late", False, True), 3: ("call", "late", False, True),
         4: ("result", None, False, False), 5: ("message", None, False, False),
     }
+
+
+def test_pii_takes_long_numbers_in_one_pass():
+    from time import process_time
+
+    model, began = pii.fitted(), process_time()
+    for text in ("7" * 1_000_000, "1." * 500_000, "12 " * 3000, "1.2.3." * 100_000 + "4"):
+        pii.find(text, model)
+    assert process_time() - began < 20  # by squares a million digits alone would take an hour
+    assert pii.base("1.2.3.4.5.6.7.8.9 1.2.3.256.1.1.1.1 0001.2.3.004")["ip"] == [(0, 7), (8, 15), (28, 35), (36, 48)]
+
+
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2019 Some Body and others. All rights reserved.
+
+"""
+
+
+def test_licenses_full_texts(spark):
+    import textwrap
+
+    text = {n: t for n, t in licenses.KNOWN if len(t) > 400}
+    wrap = lambda name, width: textwrap.fill(text[name], width)
+    inside = lambda t: f"first words of a page\n\n{t}\n\nand some more"
+    rows = {
+        "mit": MIT_FILE + wrap("MIT", 72), "wrapped before": MIT_FILE + wrap("MIT", 72).replace("above copyright", "above\ncopyright"), "inside": inside(MIT_FILE + wrap("MIT", 60)), "bsd": "BSD 3-Clause License\n\n(c) 2001, me\n" + wrap("BSD-3-Clause", 80),
+        "bsd2": inside(wrap("BSD-2-Clause", 50)), "changed": wrap("MIT", 72).replace("sell", "lend"), "two": inside(wrap("MIT", 70) + "\n" + wrap("Zlib", 70)), "sentence": "Copyright (c) 2020 Me. Released under the MIT License.", "wraps": "a\ncopyright holders of the work",
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows.values())], "doc_id long, text string")
+    got = dict(zip(rows, [(r.whole_licence, r.licences) for r in licenses.scan(docs).orderBy("doc_id").collect()]))
+    assert got == {
+        "mit": ("MIT", "MIT"), "wrapped before": ("MIT", "MIT"), "inside": (None, "MIT"), "bsd": ("BSD-3-Clause", "BSD-3-Clause"), "bsd2": (None, "BSD-2-Clause"), "changed": (None, ""), "two": (None, "MIT,Zlib"), "sentence": ("MIT", "MIT"), "wraps": (None, ""),
+    }
+
+
+def test_licenses_as_sql(spark, tmp_path):
+    texts = [MIT_FILE + t for _, t in licenses.KNOWN] + ["x\n\n" + t.replace(". ", ".\n") + "\n\ny" for _, t in licenses.KNOWN] + [None, "", "(c) me\n© 2001 you\nCopyright 2000-2020 X. Y. Licensed under CC BY 4.0."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    same(spark, str(tmp_path), licenses.query, licenses.SQL)
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="long texts come with some systems only")
+def test_licenses_long_texts(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    read = {n: open(f"/usr/share/common-licenses/{f}").read() for f, n in files.items()}
+    rows = list(read.items()) + [(f"in {n}", f"some page\n{t}\nmore") for n, t in read.items()]
+    got = {r.doc_id: (r.whole_licence, r.licences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {n: (n, n) for n in read} | {f"in {n}": (None, n) for n in read}
