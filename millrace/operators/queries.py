@@ -171,6 +171,19 @@ def hash_join_output(spark, d):
     return pairs_b(spark, d).join(pairs_a(spark, d), F.col("key") == F.col("key2")).select("a", "b")
 
 
+@query("hash_join_output_sum", f"SELECT count(*) AS n, {WRAP.format('(a + b)')} AS total FROM ({A_SQL}) JOIN ({B_SQL}) ON key = key2")
+def hash_join_output_sum(spark, d):
+    """What goes beside the rows of hash_join_output: their number and the wrapped sum of both values, from the same plan."""
+    return hash_join_output(spark, d).agg(F.count(F.lit(1)).alias("n"), wrapped(F.col("a") + F.col("b")).alias("total"))
+
+
+@query("result_row_count", "SELECT count(*) AS n FROM (SELECT l_suppkey, l_partkey % 64 AS part FROM lineitem WHERE l_quantity < 25 GROUP BY ALL)")
+def result_row_count(spark, d):
+    """Rows of a grouped result."""
+    groups = table(spark, d, "lineitem").where("l_quantity < 25").groupBy("l_suppkey", (F.col("l_partkey") % 64).alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("hash_probe_sum", f"SELECT {WRAP.format('(x.a + y.a)')} AS total FROM ({A_SQL} WHERE o_orderkey % 2 = 0) x JOIN ({A_SQL}) y USING (key)")
 def hash_probe_sum(spark, d):
     build = pairs_a(spark, d).where("key % 2 = 0").select("key", F.col("a").alias("x"))
@@ -257,19 +270,30 @@ def partition_groups(spark, d, threshold: int = THRESHOLD):
     return rows.groupBy(F.col("of").alias("grp")).agg(F.min("s.bin").alias("first_bin"), F.max("s.bin").alias("last_bin"), F.sum("s.rows_a").alias("rows_a"), F.sum("s.rows_b").alias("rows_b"))
 
 
-@query("partition_group_stats", _GROUPS_SQL + "SELECT count(*) AS n_groups, max(bins) AS most_bins, max(a)::BIGINT AS most_a, max(b)::BIGINT AS most_b FROM (SELECT count(*) AS bins, sum(rows_a) AS a, sum(rows_b) AS b FROM g GROUP BY grp)")
-def partition_group_stats(spark, d):
+@query("partition_group_stats", _GROUPS_SQL + "SELECT count(*) AS n_groups, max(bins) AS most_bins, max(a)::BIGINT AS most_a, max(b)::BIGINT AS most_b, ((max(a) + 9999999) // 10000000 * 10000000)::BIGINT AS room_a, ((max(b) + 9999999) // 10000000 * 10000000)::BIGINT AS room_b FROM (SELECT count(*) AS bins, sum(rows_a) AS a, sum(rows_b) AS b FROM g GROUP BY grp)")
+def partition_group_stats(spark, d, align: int = 10_000_000):
+    """Numbers of groups, their largest sizes, and the room for those in whole steps of `align` rows."""
     g = partition_groups(spark, d)
-    return g.agg(F.count(F.lit(1)).alias("n_groups"), F.max(F.col("last_bin") - F.col("first_bin") + 1).cast("long").alias("most_bins"), F.max("rows_a").alias("most_a"), F.max("rows_b").alias("most_b"))
+    room = lambda c: (F.ceil(F.max(c) / align) * align).cast("long")
+    return g.agg(F.count(F.lit(1)).alias("n_groups"), F.max(F.col("last_bin") - F.col("first_bin") + 1).cast("long").alias("most_bins"), F.max("rows_a").alias("most_a"), F.max("rows_b").alias("most_b"), room("rows_a").alias("room_a"), room("rows_b").alias("room_b"))
 
 
 @query("exchange_roundtrip", "SELECT count(*) AS n, 0::BIGINT AS lost, 0::BIGINT AS gained FROM events")
 def exchange_roundtrip(spark, d):
-    """Rows before and after an exchange, compared as bags."""
+    """Rows before and after an exchange, compared as bags: of each two 64-bit hashes of the row, summed up by 256 groups of the first."""
     before = table(spark, d, "events").select("event_id", "user_id", "event_type", cents("value").alias("cents"))
-    moved = before.repartition(16, "user_id")
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return count(before, "n").join(count(before.exceptAll(moved), "lost")).join(count(moved.exceptAll(before), "gained"))
+    moved = before.repartition("user_id")
+
+    def sums(df: DataFrame, sign: int) -> DataFrame:
+        hashes = df.select(F.xxhash64(*df.columns).alias("h"), F.hash(*df.columns).cast("decimal(38,0)").alias("g"))
+        return hashes.groupBy(F.pmod("h", F.lit(256)).alias("grp")).agg((F.count(F.lit(1)) * sign).alias("n"), (F.sum(F.col("h").cast("decimal(38,0)")) * sign).alias("h"), (F.sum("g") * sign).alias("g"))
+
+    both = sums(before, 1).union(sums(moved, -1))
+    rows = F.sum(F.when(F.col("n") > 0, F.col("n"))).alias("n")
+    each = both.groupBy("grp").agg(rows, F.sum("n").alias("more"), ((F.sum("h") != 0) | (F.sum("g") != 0)).alias("differs"))
+    # Sums that differ at equal counts: at least a row of the group was lost and another gained.
+    some = F.when(F.col("differs") & (F.col("more") == 0), 1).otherwise(0)
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.greatest(F.col("more"), some)), F.lit(0)).cast("long").alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("more"), some)), F.lit(0)).cast("long").alias("gained"))
 
 
 # ---- sums
@@ -324,6 +348,29 @@ def sort_keys(spark, d):
     return with_rank(scrambled(spark, d).select("key"), "key")
 
 
+#: Keys of four integer types from a scrambled 32-bit one: Spark's column, its SQL.
+_TYPES = {
+    "i32": (lambda k: (k - 2**31).cast("int"), "(key - 2147483648)::INT"),
+    "u32": (lambda k: k, "key"),
+    "i64": (lambda k: (k - 2**31) * 2**31, "(key - 2147483648) * 2147483648"),
+    "u64": (lambda k: k.cast("decimal(20,0)") * 2**32 + 7, "(key::HUGEINT * 4294967296 + 7)::DECIMAL(38,0)"),
+}
+
+
+def _sorted_as(kind: str):
+    column, sql = _TYPES[kind]
+
+    def run(spark, d):
+        keys = scrambled(spark, d).select(column(F.col("key")).alias("key"))
+        return with_rank(keys, "key").select(F.col("key").cast("string").alias("key"), "rank")
+
+    query(f"sort_keys_{kind}", f"SELECT key::VARCHAR AS key, row_number() OVER (ORDER BY key) - 1 AS rank FROM (SELECT {sql} AS key FROM ({SCRAMBLED}))")(run)
+
+
+for _kind in _TYPES:
+    _sorted_as(_kind)
+
+
 @query("sort_pairs", f"SELECT key, val, row_number() OVER (ORDER BY key) - 1 AS rank FROM ({SCRAMBLED})")
 def sort_pairs(spark, d):
     return with_rank(scrambled(spark, d).select("key", "val"), "key")
@@ -372,10 +419,12 @@ def value_bounds(spark, d, value: int = 2**31):
     return _runs(spark, d, 8).groupBy("run").agg(F.count_if(F.col("key") < value).alias("lower"), F.count_if(F.col("key") <= value).alias("upper"))
 
 
-@query("rank_pivots", f"WITH r AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS rank FROM ({_runs_sql(8)})) SELECT run, count(*) FILTER (rank < 700) AS split FROM r GROUP BY run")
+@query("rank_pivots", f"WITH r AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS rank FROM ({_runs_sql(8)})) SELECT run, count(*) FILTER (rank < 700) AS split, (SELECT min(key) FROM r WHERE rank >= 700) AS pivot FROM r GROUP BY run")
 def rank_pivots(spark, d, count: int = 700):
-    """How many rows of each run are among the first `count` of all."""
-    return with_rank(_runs(spark, d, 8), "key").groupBy("run").agg(F.count_if(F.col("rank") < count).alias("split"))
+    """How many rows of each run are among the first `count` of all, and the first key that isn't."""
+    rows = with_rank(_runs(spark, d, 8), "key")
+    each = rows.groupBy("run").agg(F.count_if(F.col("rank") < count).alias("split"), F.min(F.when(F.col("rank") >= count, F.col("key"))).alias("own"))
+    return each.select("run", "split", F.min("own").over(Window.partitionBy()).alias("pivot"))  # a row a run
 
 
 @query("merge_groups", f"WITH r AS (SELECT *, row_number() OVER (ORDER BY key) - 1 AS rank FROM ({_runs_sql(8)})) SELECT rank // 500 AS grp, run, count(*) AS n, min(key) AS first_key FROM r GROUP BY 1, 2")
@@ -446,15 +495,25 @@ def gen_random(spark, d, n: int = 10_000, seed: int = 666):
     return spark.range(n).select(F.col("id").alias("i"), murmur32(F.col("id") + seed).alias("value"))
 
 
+@query("gen_random_64", f"SELECT range AS i, range // 1000 AS chunk, ({murmur32_sql('range % 1000 + (666 + range // 1000) * 7919')}::HUGEINT * 2147483648 + ({murmur32_sql('range % 1000 + (666 + range // 1000) * 104729')} >> 1))::BIGINT AS value FROM range(10000)")
+def gen_random_64(spark, d, n: int = 10_000, chunk: int = 1000, seed: int = 666):
+    """63 random bits a row, chunk by chunk: a chunk's rows depend on seed + chunk alone, so any chunk can be made by itself."""
+    at, own = (F.col("id") / chunk).cast("long"), F.col("id") % chunk
+    high, low = murmur32(own + (at + seed) * 7919), F.shiftright(murmur32(own + (at + seed) * 104729), 1)
+    return spark.range(n).select(F.col("id").alias("i"), at.alias("chunk"), (high * 2**31 + low).alias("value"))
+
+
 def _unique(n: int) -> str:
-    return f"SELECT DISTINCT {murmur32_sql('range * 3 + 13')} & 1048575 AS key FROM range({n * 11 // 10})"
+    return f"SELECT {murmur32_sql('range * 2654435761 + 13')} AS key FROM range({n})"
 
 
-@query("unique_keys", f"SELECT key, row_number() OVER (ORDER BY {murmur32_sql('key')}, key) - 1 AS rank FROM (SELECT key FROM ({_unique(5000)}) ORDER BY key LIMIT 5000)")
+@query("unique_keys", f"SELECT key, row_number() OVER (ORDER BY {murmur32_sql('key + 5')}, key) - 1 AS rank FROM ({_unique(5000)})")
 def unique_keys(spark, d, n: int = 5000):
-    """n distinct keys in a seeded order: a tenth more are drawn, and the least n distinct ones stay."""
-    keys = spark.range(n * 11 // 10).select(murmur32(F.col("id") * 3 + 13).bitwiseAND(F.lit(1048575)).alias("key")).distinct().orderBy("key").limit(n)
-    return with_rank(keys.withColumn("turn", murmur32(F.col("key"))), "turn", "key").select("key", "rank")
+    """n distinct 32-bit keys in a seeded order. The keys are an odd multiple of the row number through a one-to-one mixing, so none repeats and none has to be dropped."""
+    if n > 2**32:
+        raise ValueError(f"there are 2^32 keys of 32 bits, not {n}")
+    keys = spark.range(n).select(murmur32(scramble(F.col("id")) + 13).alias("key"))
+    return with_rank(keys.withColumn("turn", murmur32(F.col("key") + 5)), "turn", "key").select("key", "rank")
 
 
 @query("permutation", f"SELECT range AS i, row_number() OVER (ORDER BY {murmur32_sql('range + 777')}, range) - 1 AS rank FROM range(10000)")

@@ -1,30 +1,30 @@
 """Global positions without a task that sees all rows.
 
-Rows are dealt to key ranges whose bounds are quantiles of the key; the rows of
-each range are numbered on their own, and the ranges' counts, added up in
-order, give each range its offset. Only the counts of the ranges, a few
-hundred rows, meet in one place.
+Rows are range-partitioned by key and ties and written down in that order with
+the number of their partition; the sizes of the partitions, added up in
+order, give each its offset, and a row's place is its offset and its place
+within. As the ties are part of the range key, a key that very many rows have is
+split. There are as many ranges as the session has shuffle partitions, so they
+grow with what the session is set up for; only their sizes, a row a range, meet
+in one place. The number is given outright, as adaptive execution would otherwise
+merge ranges, and not the same ones in the two places that read them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
 
-
-def ranges(df: DataFrame, key: str, n: int = RANGES) -> Column:
-    """The number of each row's key range. One pass over the key finds the bounds, n of them."""
-    bounds = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    return F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))).cast("array<long>"), lambda b: b < F.col(key))) if bounds else F.lit(0)
-
-
-def with_rank(df: DataFrame, key: str, *ties: str, n: int = RANGES, name: str = "rank") -> DataFrame:
-    """df with each row's position, from 0, in the order of key and ties."""
-    placed = df.withColumn("_range", ranges(df, key, n))
-    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_range").alias("_r2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(key, *ties)) - 1
-    return placed.withColumn("_own", within).join(offsets, F.col("_range") == F.col("_r2")).withColumn(name, (F.col("_own") + F.col("_offset")).cast("long")).drop("_range", "_r2", "_own", "_offset")
+def with_rank(df: DataFrame, key: str, *ties: str, name: str = "rank") -> DataFrame:
+    """df with each row's position, from 0, in the order of key and ties; rows that agree in both are in any order."""
+    by, ranges = [key, *ties], int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The last key splits rows that agree in all others; it is a hash of the row, so a repeated run gives the same ranges.
+    ranged = df.withColumn("_row", F.xxhash64(*df.columns)).repartitionByRange(ranges, *by, "_row")
+    placed = ranged.sortWithinPartitions(*by, "_row").withColumn("_at", F.monotonically_increasing_id())
+    # The upper bits of that number are the partition, the lower 33 the place in it.
+    placed = placed.withColumn("_range", F.shiftright("_at", 33)).withColumn("_own", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = placed.groupBy(F.col("_range").alias("_r2")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_r2").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_r2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return placed.join(F.broadcast(offsets), F.col("_range") == F.col("_r2")).withColumn(name, F.col("_own") + F.col("_offset")).drop("_row", "_at", "_range", "_own", "_r2", "_offset")

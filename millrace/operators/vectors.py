@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -44,11 +45,26 @@ def mean_pooling(spark, d):
     return each.groupBy("label", "pos").agg((F.round(value, 6) + 0.0).alias("value"))
 
 
-@query("last_token_pool", "SELECT label, max(vec_id) AS vec_id, round(arg_max(embedding[1]::DOUBLE, vec_id), 6) + 0.0 AS first FROM embeddings WHERE vec_id % 3 <> 0 GROUP BY label")
+_LAST_SQL = """
+WITH m AS (SELECT label, vec_id, embedding, vec_id % 3 <> 0 AS on_, max(vec_id) OVER (PARTITION BY label) AS last FROM embeddings),
+p AS (SELECT label, bool_or(on_ AND vec_id = last) AS left_padded, max(vec_id) AS last, max(vec_id) FILTER (on_) AS last_on FROM m GROUP BY label),
+v AS (SELECT p.label, p.left_padded, m.vec_id, m.embedding FROM p JOIN m ON m.label = p.label AND m.vec_id = CASE WHEN (SELECT bool_and(left_padded) FROM p) THEN p.last ELSE p.last_on END)
+SELECT label, left_padded, vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE, 6) + 0.0 AS value FROM (SELECT *, unnest(range(1, 65))::INT AS i FROM v)
+"""
+
+
+@query("last_token_pool", _LAST_SQL)
 def last_token_pool(spark, d):
-    """Each label's last vector under a mask."""
-    rows = table(spark, d, "embeddings").where("vec_id % 3 <> 0")
-    return rows.groupBy("label").agg(F.max("vec_id").alias("vec_id"), (F.round(F.max_by(F.element_at("embedding", 1).cast("double"), "vec_id"), 6) + 0.0).alias("first"))
+    """Each label's last vector under a mask, in full. If the mask has every label's last row, rows are padded on the left, and the last row is it as it stands."""
+    rows = table(spark, d, "embeddings").select("label", "vec_id", "embedding", (F.col("vec_id") % 3 != 0).alias("on"))
+    each = rows.groupBy("label").agg(
+        F.max("vec_id").alias("last"), F.max(F.when(F.col("on"), F.col("vec_id"))).alias("last_on"), F.max_by("embedding", "vec_id").alias("at_last"), F.max_by("embedding", F.when(F.col("on"), F.col("vec_id"))).alias("at_last_on"),
+    )
+    each = each.withColumn("left_padded", F.coalesce(F.col("last") == F.col("last_on"), F.lit(False)))
+    all_left = F.bool_and("left_padded").over(Window.partitionBy())  # a row a label
+    each = each.withColumn("all_left", all_left)
+    picked = each.select("label", "left_padded", F.when(F.col("all_left"), F.col("last")).otherwise(F.col("last_on")).alias("vec_id"), F.when(F.col("all_left"), F.col("at_last")).otherwise(F.col("at_last_on")).alias("e"))
+    return picked.where("vec_id IS NOT NULL").select("label", "left_padded", "vec_id", F.posexplode(_wide("e")).alias("pos", "x")).withColumn("value", F.round("x", 6) + 0.0).drop("x")
 
 
 @query("text_strip", r"SELECT doc_id, i - 1 AS line_no, md5(trim(line, ' ')) AS stripped FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i, unnest(string_split(text, chr(10))) AS line FROM documents)")

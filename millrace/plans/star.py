@@ -1,7 +1,8 @@
 """The star schema over the tables and its thirteen queries.
 
 Dimensions come already joined with nation, so that a filter on a nation or
-region reaches them before the fact join. Joins carry no hints: a dimension is
+region reaches them before the fact join, and are joined before lines meet their
+orders, the one join of two large tables. Joins carry no hints: a dimension is
 broadcast while its size is under spark.sql.autoBroadcastJoinThreshold and
 shuffled beyond it. Dimensions that only filter are left-semi joined. Money is
 in integer cents, so sums don't depend on their order.
@@ -24,17 +25,24 @@ def dates_of(c: Column) -> dict[str, Column]:
     return {"orderdate": F.year(c) * 10000 + F.month(c) * 100 + F.dayofmonth(c), "year": F.year(c), "yearmonth": F.year(c) * 100 + F.month(c)}
 
 
-def lineorder(spark: SparkSession, d: str, first: str | None = None, before: str | None = None) -> DataFrame:
-    """Lines with their order. first and before bound the order date and reach the scan of orders."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+def orders(spark: SparkSession, d: str, first: str | None = None, before: str | None = None) -> DataFrame:
+    """Order key, customer and dates. first and before bound the order date and reach the scan."""
+    out = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), "o_orderdate")
     if first:
-        orders = orders.where(F.col("o_orderdate") >= F.lit(first).cast("timestamp_ntz"))
+        out = out.where(F.col("o_orderdate") >= F.lit(first).cast("timestamp_ntz"))
     if before:
-        orders = orders.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
+        out = out.where(F.col("o_orderdate") < F.lit(before).cast("timestamp_ntz"))
+    return out.withColumns(dates_of(F.col("o_orderdate"))).drop("o_orderdate")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
     price, discount = F.round(F.col("l_extendedprice") * 100).cast("long"), F.round(F.col("l_discount") * 100).cast("int")
-    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").cast("int").alias("quantity"), price.alias("extendedprice"), discount.alias("discount"))
-    lines = lines.withColumn("revenue", F.expr("extendedprice * (100 - discount) div 100"))
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumnRenamed("o_custkey", "custkey").withColumns(dates_of(F.col("o_orderdate"))).drop("l_orderkey", "o_orderkey", "o_orderdate")
+    out = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("partkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_quantity").cast("int").alias("quantity"), price.alias("extendedprice"), discount.alias("discount"))
+    return out.withColumn("revenue", F.expr("extendedprice * (100 - discount) div 100"))
+
+
+def with_orders(lines_: DataFrame, orders_: DataFrame) -> DataFrame:
+    return lines_.join(orders_, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
 
 
 def _places(df: DataFrame, spark: SparkSession, d: str, key: str, nation: str, p: str) -> DataFrame:
@@ -70,19 +78,19 @@ class Star:
     measure: str = "revenue"
 
     def run(self, spark: SparkSession, d: str) -> DataFrame:
-        fact = lineorder(spark, d, self.first, self.before)
+        """Dimensions first: parts and suppliers filter the lines, customers the orders, and what is left of both sides is joined."""
+        fact, measure = lines(spark, d), F.col("revenue")
         if self.measure == "profit":
             fact = fact.join(parts(spark, d).where(self.part or "true").select("p_key", "category", "brand1", "supplycost"), F.col("partkey") == F.col("p_key"))
             measure = F.col("revenue") - F.col("supplycost")
-        else:
-            measure = F.col("revenue")
-            if self.part:
-                fact = self._join(fact, parts(spark, d).where(self.part), "partkey", "p_key", ("brand1", "category"))
+        elif self.part:
+            fact = self._join(fact, parts(spark, d).where(self.part), "partkey", "p_key", ("brand1", "category"))
         if self.supplier:
             fact = self._join(fact, suppliers(spark, d).where(self.supplier), "suppkey", "s_key", ("s_nation", "s_city"))
+        ordered = orders(spark, d, self.first, self.before)
         if self.customer:
-            fact = self._join(fact, customers(spark, d).where(self.customer), "custkey", "c_key", ("c_nation", "c_city"))
-        return fact.groupBy(*self.keys).agg(F.sum(measure).cast("long").alias(self.measure))
+            ordered = self._join(ordered, customers(spark, d).where(self.customer), "custkey", "c_key", ("c_nation", "c_city"))
+        return with_orders(fact, ordered).groupBy(*self.keys).agg(F.sum(measure).cast("long").alias(self.measure))
 
     def _join(self, fact: DataFrame, dim: DataFrame, key: str, dim_key: str, payload: tuple[str, ...]) -> DataFrame:
         used = [c for c in payload if c in self.keys]
@@ -114,8 +122,8 @@ def discounts(first: str, before: str, discount: tuple[int, int], quantity: tupl
     """Flight 1: revenue gained from discounts on orders of some dates. The date filter stands in for the join with the dates."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        lo = lineorder(spark, d, first, before).where(F.col("discount").between(*discount) & F.col("quantity").between(*quantity))
-        return lo.agg(F.sum(F.col("extendedprice") * F.col("discount")).cast("long").alias("revenue"))
+        wanted = lines(spark, d).where(F.col("discount").between(*discount) & F.col("quantity").between(*quantity))
+        return with_orders(wanted, orders(spark, d, first, before)).agg(F.sum(F.col("extendedprice") * F.col("discount")).cast("long").alias("revenue"))
 
     return run
 

@@ -83,3 +83,41 @@ def test_stream_gives_the_tables_windows(spark, tmp_path):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["filter_lt"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(l_quantity,10.0)" in plan and "l_shipdate" not in plan
+
+
+def test_ranges_split_one_key(spark):
+    """A table of one key is ranked in several tasks, by its ties or, without any, by its rows."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators.ranking import with_rank
+
+    rows = spark.range(20000).select(F.lit(7).alias("key"), (F.col("id") * 7919 % 20011).alias("tie"))
+    for ties in (["tie"], []):
+        got = with_rank(rows, "key", *ties).withColumn("task", F.spark_partition_id()).collect()
+        assert sorted(r["rank"] for r in got) == list(range(20000))
+        assert not ties or [r["tie"] for r in sorted(got, key=lambda r: r["rank"])] == sorted(r["tie"] for r in got)
+        assert len({r["task"] for r in got}) > 4
+
+
+def test_rank_of_joined_rows_at_many_ranges(spark):
+    from millrace.operators.ranking import with_rank
+    from millrace.sources.tables import table
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "61")
+        lines = table(spark, MORE, "lineitem").join(table(spark, MORE, "part"), on=table(spark, MORE, "lineitem").l_partkey == table(spark, MORE, "part").p_partkey).select("l_partkey", "l_orderkey", "l_extendedprice")
+        got = [(r["rank"], r["l_partkey"], r["l_orderkey"]) for r in with_rank(lines, "l_partkey", "l_orderkey").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r[0] for r in sorted(got)] == list(range(len(got)))
+    assert [r[1:] for r in sorted(got)] == sorted(r[1:] for r in got)
+
+
+@pytest.mark.parametrize("name", ["ssb_q21", "ssb_q31", "ssb_q41", "ssb_q43"])
+def test_dimensions_are_joined_before_orders(spark, name):
+    """The uppermost join is that of lines and orders; the lines below it are filtered by a dimension."""
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert "o_orderkey" in joins[0] and len(joins) > 1
+    assert not any("o_orderkey" in x for x in joins[1:])
