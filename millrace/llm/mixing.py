@@ -32,7 +32,7 @@ from .common import WORD, Scratch, documents, numbered
 #: Repeating weights of the sources in order.
 WEIGHTS = (5, 2, 1)
 #: Rows of a key range, about, if all were of one source.
-RANGE_ROWS = 100_000
+RANGE_ROWS = 10_000
 SEED = "mix-1"
 
 

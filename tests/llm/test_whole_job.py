@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, licenses, pii, quality_rules, repeats
+from millrace.llm import chat, exact_dedup, licenses, mixing, near_dedup, pii, quality_rules, repeats
 from millrace.llm.common import documents
 
 from ..oracle import same
@@ -145,3 +145,35 @@ def test_licenses_long_texts(spark):
     rows = list(read.items()) + [(f"in {n}", f"some page\n{t}\nmore") for n, t in read.items()]
     got = {r.doc_id: (r.whole_licence, r.licences) for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {n: (n, n) for n in read} | {f"in {n}": (None, n) for n in read}
+
+
+def test_filters_keep_one_row_a_group(spark):
+    """Rows that repeat an id, a text or both, null ids and texts, and columns named like the operators' own."""
+    t, u, lone = "T T T a b c d e f g", "u v w x y z q r s", "lone one two three four five six"
+    rows = [(1, t), (1, t), (2, t), (2, u), (3, u), (2, t), (None, t), (None, lone), (None, lone), (None, None), (7, None)]
+    docs = spark.createDataFrame([(*r, "s", 1, 2, "x") for r in rows], "doc_id long, text string, source string, c0 int, `a.b` int, __copy string")
+    pick = lambda df: sorted([(r[0], r[1]) for r in df.collect()], key=repr)
+    for f, want in ((exact_dedup.deduplicate, [(2, t), (3, u), (7, None), (None, lone)]), (near_dedup.deduplicate, [(1, t), (7, None), (None, lone), (None, None)])):
+        for df in (docs, docs.repartition(5)):
+            assert f(df).columns == docs.columns
+            assert pick(f(df)) == sorted(want, key=repr)
+    for hot, salts in ((0, 3), (1, 2)):
+        assert pick(exact_dedup.deduplicate(docs, salts, hot)) == pick(exact_dedup.deduplicate(docs))
+        whole = lambda df: sorted(map(tuple, df.collect()), key=repr)
+        assert whole(exact_dedup.exact_dedup(docs, salts, hot=hot)) == whole(exact_dedup.exact_dedup(docs))
+    taken = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(docs).collect()}
+    assert sum(r.taken for r in mixing.mix(docs).collect()) == int(mixing.mix(docs).first().target) and len(taken) > 4
+    assert mixing.mixed(docs).columns == docs.columns
+    assert all(pick(f(docs.limit(0))) == [] for f in (exact_dedup.deduplicate, near_dedup.deduplicate, mixing.mixed))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from millrace.llm import common
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a")))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local-cluster[3,2,1024]", applicationId="a")))
