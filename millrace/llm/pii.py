@@ -5,11 +5,13 @@ by exact patterns; those spans always stay. Beside it, generators of high
 recall propose spans that the patterns miss and that may overlap: addresses
 written with "(at)" and "[dot]" or "at" and "dot", numbers with other
 separators or without a plus sign, card numbers of other lengths, IP numbers in
-IPv6, whole or compressed. Of numbers side by side every run of neighbouring
+IPv6, whole or compressed. A fifth kind, secret, has no pattern: what is
+assigned to a name such as "password" and every long run of letters and digits
+is proposed (keys, tokens, passwords). Of numbers side by side every run of neighbouring
 groups of digits is proposed, as fixed patterns take them for one number and
 drop it when its digits are too many.
 Gradient-boosted trees score each candidate from its format and from the words
-around it, and a threshold for each kind, calibrated for precision on rows held
+around it (those for secrets are trees of their own, on other features), and a threshold for each kind, calibrated for precision on rows held
 out of the fitting, selects. Of overlapping selected candidates the best stays;
 none that touches a base span does.
 
@@ -27,6 +29,7 @@ code points, the end exclusive.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -37,6 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, map_rows, texts
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 TRAIN_ROWS, SEED, ROUNDS, DEPTH, RATE, PRECISION = 6000, 11, 40, 3, 0.3, 0.995
 #: Characters before and after a candidate whose words count as its context.
 AROUND = 32
@@ -361,6 +365,15 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.start + sum(self._apply(t, x) for t in self.trees))))
 
 
+def _cut(score: np.ndarray, y: np.ndarray) -> float:
+    """The lowest score from which the rows have the wanted precision; 2 if there is none."""
+    order = np.argsort(-score, kind="stable")
+    s, good = score[order], np.cumsum(y[order])
+    ends = np.append(s[1:] < s[:-1], True)  # rows of one score stand or fall together
+    fine = np.flatnonzero(ends & (good >= PRECISION * np.arange(1, len(s) + 1)))
+    return float(s[fine[-1]]) if len(fine) else 2.0
+
+
 @lru_cache(maxsize=1)
 def fitted() -> tuple[Boosted, tuple[float, ...]]:
     """The trees and each kind's threshold: the lowest score from which the held-out third has the wanted precision."""
@@ -368,58 +381,175 @@ def fitted() -> tuple[Boosted, tuple[float, ...]]:
     held = np.arange(len(x)) % 3 == 0
     trees = Boosted(x[~held], y[~held])
     score = trees.score(x[held])
-    cuts = []
-    for k in range(len(KINDS)):
-        own = z[held] == k
-        order = np.argsort(-score[own], kind="stable")
-        s, good = score[own][order], np.cumsum(y[held][own][order])
-        ends = np.append(s[1:] < s[:-1], True)  # rows of one score stand or fall together
-        fine = np.flatnonzero(ends & (good >= PRECISION * np.arange(1, len(s) + 1)))
-        cuts.append(float(s[fine[-1]]) if len(fine) else 2.0)
-    return trees, tuple(cuts)
-
-
-def find(text: str, model: tuple[Boosted, tuple[float, ...]]) -> tuple[dict[str, list[Span]], list[tuple[str, int, int]]]:
+    own = [z[held] == k for k in range(len(KINDS))]
+    return trees, tuple(_cut(score[o], y[held][o]) for o in own)
+
+
+# Secrets: keys, tokens and passwords.
+#: Names that a secret is assigned to, and words for digests and identifiers, which look like one.
+SECRET_NAMES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "key", "apikey", "credential", "bearer", "auth", "passwort", "contraseña")
+DIGEST_NAMES = ("sha", "md", "commit", "hash", "checksum", "digest", "etag", "uuid", "guid", "id", "build", "rev", "file", "path", "url", "image", "version", "blob", "public")
+#: How the keys of well-known services begin.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "xoxb-", "xoxp-", "sk_live_", "sk-", "AIza", "eyJ")
+_ASSIGNED = re.compile(r"[:=]\s{0,3}(?:\"([^\"\n]{6,128})\"|'([^'\n]{6,128})'|([A-Za-z0-9_+/.~!@$%^&*-]{6,}+))")
+_NAMED = re.compile(rf"(?:{'|'.join(SECRET_NAMES)})[\"']?\s{{0,3}}$", re.IGNORECASE)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_NAME = re.compile(r"[^\W\d_]+")
+
+
+def secret_candidates(text: str, taken: list[Span]) -> list[Span]:
+    """What is assigned to a telling name, and long runs with letters and digits. None touches a taken span."""
+    out = set()
+    for m in _ASSIGNED.finditer(text):
+        if _NAMED.search(text, max(0, m.start() - 24), m.start()):
+            a, b = m.span(m.lastindex)
+            if m.lastindex == 3:
+                b = a + len(m[3].rstrip(".!%$&*^~-"))
+            if b - a >= 6:
+                out.add((a, b))
+    for m in _TOKEN.finditer(text):
+        if _DIGIT.search(m[0]) and not m[0].isdecimal() and re.search("[A-Za-z]", m[0]):
+            out.add(m.span())
+    full = covered(text, taken) if taken and out else None
+    return sorted(s for s in out if full is None or full.find(1, *s) < 0)
+
+
+def describe_secret(text: str, start: int, end: int) -> list[float]:
+    """Format and context of a candidate for a secret, as numbers. Of a very long one, counts are over all of it."""
+    s = text[start:end]
+    n = len(s)
+    sorts = ["d" if c.isdecimal() else "u" if c.isupper() else "l" if c.islower() else "o" for c in s]
+    share = np.array(list(Counter(s).values())) / n
+    before = text[max(0, start - AROUND) : start]
+    near = [w.lower() for w in _NAME.findall(before)[-4:]]
+    letters = _NAME.findall(s)
+    return [
+        n,
+        sorts.count("d") / n,
+        sorts.count("u") / n,
+        sorts.count("l") / n,
+        sorts.count("o") / n,
+        float(-(share * np.log2(share)).sum()),
+        sum(a != b for a, b in zip(sorts, sorts[1:], strict=False)) / n,
+        max(map(len, letters), default=0),
+        sum(c in "aeiouAEIOU" for c in s) / n,
+        float(all(c in "0123456789abcdef" for c in s) or all(c in "0123456789ABCDEF" for c in s)),
+        float(_UUID.fullmatch(s) is not None),
+        float(s.startswith(PREFIXES)),
+        float(_NAMED.search(before.rstrip(" =:\"'")) is not None and before[-1:] in " =:\"'"),
+        float(re.search(r"[=:]\s{0,3}[\"']?$", before) is not None),
+        float(any(w.startswith(SECRET_NAMES) for w in near)),
+        float(any(w in DIGEST_NAMES for w in near)),
+        float(before[-1:] in ("\"", "'")),
+        sum(c in "/-_." for c in s) / n,
+        float(any(c.isspace() for c in s)),
+    ]
+
+
+def _secret_training() -> tuple[np.ndarray, np.ndarray]:
+    """Rows of features and labels: secrets and their look-alikes, each in its context, written by rule."""
+    rng = np.random.default_rng(SEED + 1)
+    pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    some = lambda of, lo, hi: "".join(of[int(i)] for i in rng.integers(0, len(of), int(rng.integers(lo, hi))))
+    low, digits, hexa = "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
+    alnum = low + low.upper() + digits
+    word = lambda: "".join(pick(["an", "er", "the", "on", "tion", "le", "que", "ein", "ung", "ar", "in", "sh"]) for _ in range(int(rng.integers(1, 5))))
+    name = lambda: pick([pick(SECRET_NAMES), f"{word()}_{pick(SECRET_NAMES)}", pick(SECRET_NAMES).upper(), f"api {pick(SECRET_NAMES)}"])
+    link = lambda: pick([" = ", "=", ": ", ":", " : "])
+    quote = lambda s: pick([s, f'"{s}"', f"'{s}'"])
+    value = lambda: pick([lambda: some(hexa, 16, 65), lambda: some(alnum, 8, 65), lambda: some(alnum + "+/", 20, 65), lambda: f"{word()}{some(digits, 2, 5)}{some(low, 1, 5)}{some('!$%*', 1, 3)}{some(digits, 1, 3)}", lambda: some(alnum + "!$%*@", 10, 25), lambda: some(low.upper() + digits, 16, 41)])()
+    uuid = lambda: "-".join(some(hexa, n, n + 1) for n in (8, 4, 4, 4, 12))
+    real = [
+        lambda: (f"{name()}{link()}", value()),
+        lambda: (f"{name()}{link()}", value()),
+        lambda: (f"{pick([word(), name() + link(), word() + link()])} ", pick(PREFIXES) + some(pick([low.upper() + digits, alnum]), 14, 41)),
+        lambda: (f"{pick(SECRET_NAMES)} {pick(['', 'is '])}", some(pick([hexa, alnum]), 24, 65)),
+    ]
+    other = [
+        lambda: (f"{pick(DIGEST_NAMES)}{pick([' ', link()])}", pick([some(hexa, 32, 65), uuid(), some(alnum + "+/", 24, 65)])),
+        lambda: (f"{word()} ", some(hexa, 20, 65)),
+        lambda: (f"{word()}{pick([' ', link()])}", uuid()),
+        lambda: (f"{name()}{link()}", pick([word() + word(), f"{word()}_{word()}", f"{word()}.{word()}", f"{word()} {word()} {word()}", "required", "string", "null", "undefined"])),
+        lambda: (f"{word()} ", "-".join([word(), word(), some(digits, 1, 5), word(), word()])),
+        lambda: (f"{pick([word() + ' ', word() + link()])}", "/".join(["", word(), some(digits, 4, 5), word(), word(), some(digits, 1, 3)])),
+        lambda: (f"{word()} ", f"{word()}{word()}{word()}{word()}{some(digits, 1, 3)}"),
+        lambda: (f"{word()} ", f"{word()}_{word()}_{word()}{some(digits, 1, 4)}_{word()}"),
+        lambda: (f"{word()}{link()}", some(alnum, 16, 41)),
+        lambda: (f"{name()}{link()}", some(digits, 6, 9)),
+    ]
+    x, y = [], []
+    while len(x) < TRAIN_ROWS:
+        true = rng.random() < 0.5
+        lead, s = pick(real if true else other)()
+        lead = f"{word()} {word()} {lead}"
+        shown = quote(s) if not lead.endswith(" ") or lead.endswith(("= ", ": ")) else s
+        start = len(lead) + (shown != s)
+        text = f"{lead}{shown}{pick(['', ' ', ', ', '. '])}{word()}" if shown != s else f"{lead}{shown} {word()}"
+        found = secret_candidates(text, [t for v in base(text).values() for t in v])
+        for a, b in found:
+            x.append(describe_secret(text, a, b))
+            y.append(float(true and a == start and b >= start + len(s.rstrip(".!%$&*^~-"))))
+    return np.array(x), np.array(y)
+
+
+@lru_cache(maxsize=1)
+def fitted_secrets() -> tuple[Boosted, float]:
+    """The trees for secrets and their threshold, calibrated on a third left out of the fit."""
+    x, y = _secret_training()
+    held = np.arange(len(x)) % 3 == 0
+    trees = Boosted(x[~held], y[~held])
+    return trees, _cut(trees.score(x[held]), y[held])
+
+
+def find(text: str, model: tuple[Boosted, tuple[float, ...]], secrets: tuple[Boosted, float] | None = None) -> tuple[dict[str, list[Span]], list[tuple[str, int, int]]]:
     """Base spans by kind, and the spans that the trees add."""
     sure = base(text)
-    loose = candidates(text, [s for v in sure.values() for s in v])
-    added: list[tuple[str, int, int]] = []
-    if loose:
+    taken = [s for v in sure.values() for s in v]
+    scored: list[tuple[float, str, int, int]] = []
+    if loose := candidates(text, taken):
         trees, cuts = model
-        score = trees.score(np.array([describe(text, *c) for c in loose]))
+        scores = trees.score(np.array([describe(text, *c) for c in loose]))
+        scored += [(s, *c) for s, c in zip(scores, loose, strict=True) if s >= cuts[KINDS.index(c[0])]]
+    if hidden := secret_candidates(text, taken):
+        trees, cut = secrets or fitted_secrets()
+        scores = trees.score(np.array([describe_secret(text, *c) for c in hidden]))
+        scored += [(s, SECRET, *c) for s, c in zip(scores, hidden, strict=True) if s >= cut]
+    added: list[tuple[str, int, int]] = []
+    if scored:
         full = bytearray(len(text))
-        for i in sorted(range(len(loose)), key=lambda i: (-score[i], loose[i][1] - loose[i][2], loose[i][1])):  # of equals the longest
-            k, a, b = loose[i]
-            if score[i] >= cuts[KINDS.index(k)] and full.find(1, a, b) < 0:
+        for _, k, a, b in sorted(scored, key=lambda c: (-c[0], c[2] - c[3], c[2])):  # of equals the longest
+            if full.find(1, a, b) < 0:
                 added.append((k, a, b))
                 full[a:b] = b"\x01" * (b - a)
     return sure, added
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), *s[1:])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: ((*KINDS, SECRET).index(s[0]), *s[1:])))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Every row's personal data: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added."""
-    model = fitted()
+    """Every row's personal data: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_spans."""
+    model, secrets = fitted(), fitted_secrets()
 
     def start():
         def batch(ids, rows):
-            out = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
+            out = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans")}
             for text in rows:
-                sure, added = find(text, model)
+                sure, added = find(text, model, secrets)
                 for k in KINDS:
                     out[f"n_{k}"].append(len(sure[k]))
                 fixed = [(k, a, b) for k in KINDS for a, b in sure[k]]
                 out["base_sha256"].append(sha256(_joined(fixed).encode()).hexdigest())
                 out["spans"].append(_joined(fixed + added))
                 out["n_added"].append(len(added))
+                out["n_spans"].append(len(fixed) + len(added))
             return {"doc_id": ids} | out
 
         return batch
 
-    return map_rows(texts(docs), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", start)
+    return map_rows(texts(docs), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long", start)
 
 
 def redact(text: str, model=None) -> str:
