@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, licenses, mixing, near_dedup, pii, quality_rules, repeats, sentencepiece_codec, token_counts
+from . import chat, exact_dedup, licenses, mixing, near_dedup, parts, pii, quality_rules, repeats, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_repeated_passages": repeats.query,
     "op10_pii": pii.query,
+    "quality_counts": parts.quality_counts,
+    "repeats_found": parts.repeats_found,
+    "pii_base": parts.pii_base,
 }
 
 SQL = {
@@ -23,4 +26,7 @@ SQL = {
     "op6_chat_format": chat.SQL,
     "op7_mixing": mixing.SQL,
     "op8_near_dedup": near_dedup.SQL,
+    "quality_counts": parts.QUALITY_COUNTS,
+    "repeats_found": parts.REPEATS_FOUND,
+    "pii_base": parts.PII_BASE,
 }
