@@ -21,8 +21,10 @@ function. Its sketch is the K smallest hashes.
    values of both sketches together, and confirms on full sets those whose
    estimate is within Z deviations of the limit. It returns a forest of the links, so a
    block gives fewer links than it has members.
-4. A hub with several blocks gets a second turn: members that are not yet
-   linked with the hub are held against all members, block by block. Those that
+4. A hub with several blocks gets a second turn. A member with more than a
+   quarter of its full set in no other member's is linked with none and goes; a
+   count of each hub's shingles tells. Of the rest, members that are not yet
+   linked with the hub are held against all, block by block. Those that
    are linked with it need not be held against each other.
 5. Links become components; every member of a class has its class's.
 
@@ -267,6 +269,18 @@ def stars(reps: DataFrame, scratch: Scratch, k: int = K) -> DataFrame:
     return out
 
 
+def _partnered(marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of hubs with members left whose sets, but for what no other member of the hub has, are large enough for a link."""
+    waiting = marked.where("left").select(F.col("hub").alias("hub2")).distinct()
+    rows = marked.join(waiting, F.col("hub") == F.col("hub2"), "left_semi")
+    values = rows.join(sets, F.col("member") == F.col("id")).select("hub", "member", F.explode("set").alias("v"))
+    # Counts and minima combine before they are shuffled, so a value that all of a hub's members have is a row a task.
+    own = values.groupBy("hub", "v").agg(F.count(F.lit(1)).alias("having"), F.min("member").alias("member")).where("having = 1")
+    own = own.groupBy(F.col("hub").alias("hub2"), F.col("member").alias("member2")).agg(F.count(F.lit(1)).alias("own"))
+    rows = rows.join(own, (F.col("hub") == F.col("hub2")) & (F.col("member") == F.col("member2")), "left")
+    return rows.where(100 * (F.col("n") - F.coalesce("own", F.lit(0))) >= PERCENT * F.col("n")).select("hub", "member", "n", "left")
+
+
 def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int = K, block: int = BLOCK) -> DataFrame:
     """Links a, b between classes, enough of them to join all that are similar."""
     star = stars(reps, scratch, k)
@@ -293,8 +307,10 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int = K, block:
     with_root = big.join(joined, F.col("member") == F.col("node"), "left").select("hub", "member", "n", F.coalesce("root", "member").alias("root"))
     hub_root = with_root.where("hub = member").select(F.col("hub").alias("hub2"), F.col("root").alias("hub_root"))
     marked = scratch.cut(with_root.join(hub_root, F.col("hub") == F.col("hub2")).select("hub", "member", "n", (F.col("root") != F.col("hub_root")).alias("left")))
-    counts = marked.groupBy(F.col("hub").alias("hub2")).agg(count(F.count_if("left"), F.sum(F.when(F.col("left"), F.col("n")).otherwise(0))).alias("rows"), count(F.count(F.lit(1)), F.sum("n")).alias("cols")).where("rows > 0")
-    spread = marked.join(counts, F.col("hub") == F.col("hub2")).withColumns({"r": F.pmod(F.xxhash64("member", "hub"), "rows").cast("int"), "c": F.pmod(F.xxhash64("hub", "member"), "cols").cast("int")})
+    kept = scratch.cut(_partnered(marked, sets))
+    scratch.drop(marked)
+    counts = kept.groupBy(F.col("hub").alias("hub2")).agg(count(F.count_if("left"), F.sum(F.when(F.col("left"), F.col("n")).otherwise(0))).alias("rows"), count(F.count(F.lit(1)), F.sum("n")).alias("cols")).where("rows > 0")
+    spread = kept.join(counts, F.col("hub") == F.col("hub2")).withColumns({"r": F.pmod(F.xxhash64("member", "hub"), "rows").cast("int"), "c": F.pmod(F.xxhash64("hub", "member"), "cols").cast("int")})
     as_row = spread.where("left").select("hub", "member", F.lit(True).alias("left"), "r", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("c"))
     as_col = spread.select("hub", "member", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("r"), "c")
     pairs = as_row.unionByName(as_col).join(sets, F.col("member") == F.col("id")).select("hub", "r", "c", "member", "left", "set")

@@ -195,6 +195,24 @@ def test_near_dedup_of_a_large_group_in_small_blocks(spark):
         assert {x.doc_id: x.component_id for x in near_dedup.near_dedup(docs, block=block).collect()} == want
 
 
+def test_near_dedup_of_a_common_template(spark):
+    """Documents that share a template, at similarities to either side of the limit, some of them with near copies of their own."""
+    r = random.Random(5)
+    template = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(240):
+        own = [f"o{i}x{j}" for j in range(r.choice([8, 20, 30, 60]))]
+        rows.append((2 * i, " ".join(template + own)))
+        if i % 4 == 0:
+            own[r.randrange(len(own))] = "changed"
+            rows.append((2 * i + 1, " ".join(template + own)))
+    want = brute.components([(i, brute.shingles(t)) for i, t in rows])
+    assert 10 < sum(want[2 * i + 1] == 2 * i for i in range(0, 240, 4)) < 60 and len(set(want.values())) > 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (20, 4096):
+        assert {x.doc_id: x.component_id for x in near_dedup.near_dedup(docs, block=block).collect()} == want
+
+
 def test_needed_is_a_bound_for_complete_sketches():
     for n in (1, 4, 40, 48):
         assert near_dedup.needed(n) == -(-75 * n // 100)
