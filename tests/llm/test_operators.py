@@ -201,7 +201,7 @@ def test_near_dedup_of_a_common_template(spark):
     template = [f"t{i}" for i in range(120)]
     rows = []
     for i in range(240):
-        own = [f"o{i}x{j}" for j in range(r.choice([8, 20, 30, 60]))]
+        own = [f"o{i}x{j}" for j in range(r.choice([8, 30, 40, 60]))]
         rows.append((2 * i, " ".join(template + own)))
         if i % 4 == 0:
             own[r.randrange(len(own))] = "changed"
