@@ -28,7 +28,12 @@ def shared_root(spark: SparkSession) -> str:
 
 #: Rows and bytes that a map takes at once; a longer row goes alone.
 SLICE, SLICE_BYTES = 512, 1 << 20
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Held while a table is written: its shuffle files go with the plan, and batches for Python are of a few slices, since a task holds a whole one on either side.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(4 * SLICE),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * SLICE_BYTES),
+}
 
 
 class Scratch:
@@ -49,12 +54,15 @@ class Scratch:
     def cut(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{self.n}"
         self.n += 1
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        conf = self.spark.conf
+        before = {name: conf.get(name, None) for name in _WRITING}
         try:
+            for name, value in _WRITING.items():
+                conf.set(name, value)
             df.write.parquet(path)
         finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+            for name, value in before.items():
+                conf.unset(name) if value is None else conf.set(name, value)
         self.live.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._millrace_path = path

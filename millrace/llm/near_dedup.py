@@ -289,8 +289,8 @@ def links(docs: DataFrame, reps: DataFrame, scratch: Scratch, k: int = K, block:
     def start():
         return lambda ids, rows: {"id": ids, "set": [shingle_set(t).view(np.int64) for t in rows]}
 
-    # Merge: members grow with the documents, so they are never sent to all tasks.
-    rows = texts(docs).join(members.hint("merge"), F.col("doc_id") == F.col("member"), "left_semi")
+    # Both sides are shuffled, as members grow with the documents; ids are hashed, so texts stream past them and aren't sorted.
+    rows = texts(docs).join(members.hint("shuffle_hash"), F.col("doc_id") == F.col("member"), "left_semi")
     sets = scratch.cut(map_rows(rows, "id long, set array<long>", start))
     # Blocks; a hub joins each block of its own.
     count = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size * 8 / BLOCK_BYTES)).cast("int")
