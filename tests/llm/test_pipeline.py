@@ -43,3 +43,22 @@ def test_clean_labelled_documents_stay(spark):
     judged = quality_rules.judge(common.documents(spark, MORE), spark.read.parquet(f"{MORE}/labels.parquet"))
     lost = judged.join(spark.read.parquet(f"{MORE}/labels.parquet"), "doc_id").where("quality = 1 AND NOT kept AND NOT base_failed").count()
     assert lost <= 2
+
+
+def test_run_on_odd_rows_and_an_empty_table(spark, tmp_path):
+    """Nulls, repeated rows and ids, long texts, clashing columns: nothing that the base rules reject, one row at most of each group of copies."""
+    labels = spark.read.parquet(f"{MORE}/labels.parquet")
+    for name, docs in (("odd", brute.odd(spark)), ("empty", brute.empty(spark))):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        taken = Counter(r.doc_id for r in corpus_pipeline.run(spark, at).collect())
+        if name == "empty":
+            assert not taken
+    rows = [(r[0], r[1]) for r in brute.odd_rows() if r[0] is not None]
+    passed = [(i, t) for i, t in rows for n, _, _, _, hit in [brute.quality(t)] if n >= 20 and 100 * hit <= 30 * n]
+    at = str(tmp_path / "odd")
+    taken = Counter(r.doc_id for r in corpus_pipeline.run(spark, at).collect())
+    near = brute.components([(i, brute.shingles(t)) for i, t in passed])
+    assert taken and set(taken) <= set(near) and max(taken.values()) <= 2
+    assert len({near[i] for i in taken}) == len(taken)
